@@ -11,13 +11,37 @@ def op2_nnls_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), vocabulary(), window=1024, end_id=0)
 
 
+def op4_source_mixing(spark, sf_dir):
+    from brindle.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir))
+
+
 def op5_bloom_exact_dedup(spark, sf_dir):
     from brindle.llm.exact_dedup import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_nnls_packing, op5_bloom_exact_dedup)}
+def op6_huffman_ids(spark, sf_dir):
+    from brindle.llm.huffman import ids_round_trip
+
+    return ids_round_trip(documents(spark, sf_dir), vocabulary(), end_id=2)
+
+
+def op9_pii_spans(spark, sf_dir):
+    from brindle.llm.pii import pii_digest
+
+    return pii_digest(documents(spark, sf_dir))
+
+
+def op10_language_profiles(spark, sf_dir):
+    from brindle.llm.language_id import identify_language
+
+    return identify_language(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_nnls_packing, op4_source_mixing, op5_bloom_exact_dedup, op6_huffman_ids, op9_pii_spans, op10_language_profiles)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
