@@ -11,6 +11,12 @@ def op2_nnls_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), vocabulary(), window=1024, end_id=0)
 
 
+def op3_tokeniser_fertility(spark, sf_dir):
+    from brindle.llm.quality_rules import quality_rules
+
+    return quality_rules(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_source_mixing(spark, sf_dir):
     from brindle.llm.mixing import mix_sources
 
@@ -29,6 +35,12 @@ def op6_huffman_ids(spark, sf_dir):
     return ids_round_trip(documents(spark, sf_dir), vocabulary(), end_id=2)
 
 
+def op7_signature_tree_join(spark, sf_dir):
+    from brindle.llm.jaccard import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_pii_spans(spark, sf_dir):
     from brindle.llm.pii import pii_digest
 
@@ -41,7 +53,7 @@ def op10_language_profiles(spark, sf_dir):
     return identify_language(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_nnls_packing, op4_source_mixing, op5_bloom_exact_dedup, op6_huffman_ids, op9_pii_spans, op10_language_profiles)}
+QUERIES = {f.__name__: f for f in (op2_nnls_packing, op3_tokeniser_fertility, op4_source_mixing, op5_bloom_exact_dedup, op6_huffman_ids, op7_signature_tree_join, op9_pii_spans, op10_language_profiles)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {

@@ -57,46 +57,28 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
-class UnitEncoder:
-    """``encode(data, at)``: ids (unsigned 32 bits) of the texts laid end to end, and n + 1 offsets.
+class SpanMemory:
+    """Remembers, by their hashes, the ids of byte spans met before; ``limit`` bounds how many.
 
-    limit bounds the pieces remembered from batch to batch.
+    A subclass has ``ids_of_all(list of bytes) -> list of lists of ids``.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self, limit: int = 1_500_000):
         self.limit = limit
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        #: The sign that a byte-level vocabulary writes for each byte.
-        self.signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.merge = self.tokenizer.model.tokenize
-        self.size = self.tokenizer.get_vocab_size()
         self._clear()
 
     def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes of the pieces met, ascending
+        self.known = np.zeros(0, np.uint64)  # hashes of the spans met, ascending
         self.slot = np.zeros(0, np.int64)  # and where in begin and count each is
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def ids_of(self, unit: bytes) -> list[int]:
-        text = unit.decode()
-        if (text[1:] if text[0] == " " else text).isalpha():
-            signs = "Ġ" + text[1:] if text[0] == " " and text.isascii() else unit.decode("latin-1").translate(self.signs)
-            return [x.id for x in self.merge(signs)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes() if len(starts) > 1000 else None
-        new = []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            new.append(self.ids_of(raw[s:e] if raw is not None else data[s:e].tobytes()))
+        spans = zip(starts.tolist(), ends.tolist(), strict=True)
+        new = self.ids_of_all([raw[s:e] if raw is not None else data[s:e].tobytes() for s, e in spans])
         counts = np.fromiter(map(len, new), np.int64, len(new))
         total = int(counts.sum())
         if self.used + total > len(self.flat):
@@ -113,12 +95,11 @@ class UnitEncoder:
         self.known = np.insert(self.known, place, hashes)
         self.slot = np.insert(self.slot, place, np.arange(k, k + len(new)))
 
-    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = unit_starts(data, at)
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans laid end to end, and n + 1 offsets."""
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(data, starts, ends)
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        hashes = span_hashes(data, starts, ends) if hashes is None else hashes
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > self.limit:
             self._clear()
@@ -131,15 +112,66 @@ class UnitEncoder:
         slots = self.slot[np.searchsorted(self.known, unique)][back]
         counts = self.count[slots]
         over = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.flat[np.repeat(self.begin[slots] - over[:-1], counts) + np.arange(over[-1])]
+        return self.flat[np.repeat(self.begin[slots] - over[:-1], counts) + np.arange(over[-1])], over
+
+
+class UnitEncoder(SpanMemory):
+    """``encode(data, at)``: ids (unsigned 32 bits) of the texts laid end to end, and n + 1 offsets."""
+
+    def __init__(self, path: str, limit: int = 1_500_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(limit)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        #: The sign that a byte-level vocabulary writes for each byte.
+        self.signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.merge = self.tokenizer.model.tokenize
+        self.size = self.tokenizer.get_vocab_size()
+
+    def _ids_of(self, unit: bytes) -> list[int]:
+        text = unit.decode()
+        if (text[1:] if text[0] == " " else text).isalpha():
+            signs = "\u0120" + text[1:] if text[0] == " " and text.isascii() else unit.decode("latin-1").translate(self.signs)
+            return [x.id for x in self.merge(signs)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def ids_of_all(self, units: list[bytes]) -> list[list[int]]:
+        return list(map(self._ids_of, units))
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = unit_starts(data, at)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        ids, over = self.ids(data, starts, np.append(starts[1:], len(data)))
         return ids, over[np.searchsorted(starts, at, "left")]
 
-    def one(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return self.encode(raw, np.array([0, len(raw)]))[0]
+
+class PieceEncoder(SpanMemory):
+    """Ids of single words in a sentencepiece vocabulary."""
+
+    def __init__(self, path: str, limit: int = 1_500_000):
+        import sentencepiece
+
+        super().__init__(limit)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())], bool)
+        #: Tokens of a character that is no letter or digit; the mark of a word's start isn't counted.
+        texts = [self.pieces.id_to_piece(i).replace("\u2581", "") for i in range(self.pieces.vocab_size())]
+        self.is_sign = np.array([bool(x) and not any(c.isalnum() for c in x) for x in texts], bool) & ~self.is_byte
+
+    def ids_of_all(self, words: list[bytes]) -> list[list[int]]:
+        return self.pieces.encode([x.decode() for x in words], num_threads=1)
 
 
 @lru_cache(maxsize=2)
 def unit_encoder(path: str) -> UnitEncoder:
     """One encoder for each vocabulary and worker process."""
     return UnitEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
