@@ -228,6 +228,25 @@ def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int) -> DataFrame:
     return components(links.unionByName(_settled(pairs)))
 
 
+def _labelled(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """id, salt, n, root (a class; null without words) and component_id for each row of docs (id, text, salt)."""
+    marks = stored(_signatures(docs), "signatures")
+    rows = marks.where(F.col("cls").isNotNull())
+    classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.max(F.struct("id", "salt")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+    classes = stored(classes, "classes")
+    links = _links(docs, classes, chunk_tokens).where("node != root")
+    rooted = classes.select("cls", "least", "copies").join(links.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight"))
+    named = join_hot(rooted, least, "root", "weight", classes.count()).select("cls", "root", "component_id", F.col("copies").alias("weight"))
+    linked = join_hot(rows.select("id", "salt", "n", "cls"), stored(named, "named"), "cls", "weight", marks.count())
+    alone = marks.where(F.col("cls").isNull()).select("id", "salt", "n", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component_id"))
+    return linked.select("id", "salt", "n", "root", "component_id").unionByName(alone)
+
+
+def _salted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("salt"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) for each row of df.
 
@@ -238,17 +257,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a component has no others. Repeated rows each have a row. An empty table gives an empty result.
     Other columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("salt"))
-    marks = stored(_signatures(docs), "signatures")
-    rows = marks.where(F.col("cls").isNotNull())
-    classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.max(F.struct("id", "salt")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("bits").alias("bits"))
-    classes = stored(classes, "classes")
-    links = _links(docs, classes, chunk_tokens).where("node != root")
-    rooted = classes.select("cls", "least", "copies").join(links.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight"))
-    total = classes.count()
-    named = join_hot(rooted, least, "root", "weight", total).select("cls", "component_id", F.col("copies").alias("weight"))
-    linked = join_hot(rows.select("id", "n", "cls"), stored(named, "named"), "cls", "weight", marks.count())
-    alone = marks.where(F.col("cls").isNull()).select("id", "n", F.col("id").alias("component_id"))
-    out = linked.select("id", "n", "component_id").unionByName(alone)
+    out = _labelled(_salted(df, id_col, text_col), chunk_tokens)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """The rows of df that stay, with all their columns: of each component the one with the smallest id.
+
+    A null id comes after all others. Rows without words all stay. Rows equal in id and text are one
+    document and stay, or go, together.
+    """
+    named = _labelled(_salted(df, id_col, text_col), chunk_tokens)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "salt")).alias("first")
+    chosen = named.where(F.col("root").isNotNull()).groupBy("root").agg(first).select("first.id", "first.salt")
+    chosen = chosen.unionByName(named.where(F.col("root").isNull()).select("id", "salt")).select(F.col("id").alias("__id"), F.col("salt").alias("__salt"))
+    rows = df.withColumn("__text_hash", F.xxhash64(text_col))
+    return rows.join(chosen, rows[id_col].eqNullSafe(chosen["__id"]) & (rows["__text_hash"] == chosen["__salt"]), "left_semi").drop("__text_hash")

@@ -5,6 +5,12 @@ from __future__ import annotations
 from brindle.llm.common import documents, vocabulary
 
 
+def op1_license_compression(spark, sf_dir):
+    from brindle.llm.licences import scan_licences
+
+    return scan_licences(documents(spark, sf_dir))
+
+
 def op2_nnls_packing(spark, sf_dir):
     from brindle.llm.packing import pack
 
@@ -41,6 +47,12 @@ def op7_signature_tree_join(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_weak_labels(spark, sf_dir):
+    from brindle.llm.weak_labels import weak_label_scores
+
+    return weak_label_scores(documents(spark, sf_dir))
+
+
 def op9_pii_spans(spark, sf_dir):
     from brindle.llm.pii import pii_digest
 
@@ -53,7 +65,7 @@ def op10_language_profiles(spark, sf_dir):
     return identify_language(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_nnls_packing, op3_tokeniser_fertility, op4_source_mixing, op5_bloom_exact_dedup, op6_huffman_ids, op7_signature_tree_join, op9_pii_spans, op10_language_profiles)}
+QUERIES = {f.__name__: f for f in (op1_license_compression, op2_nnls_packing, op3_tokeniser_fertility, op4_source_mixing, op5_bloom_exact_dedup, op6_huffman_ids, op7_signature_tree_join, op8_weak_labels, op9_pii_spans, op10_language_profiles)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
