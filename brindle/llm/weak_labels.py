@@ -3,7 +3,7 @@
 Each labeller votes good (1), bad (-1) or not at all (0). The votes of all documents are counted by
 pattern (there are few patterns, whatever the number of documents), and expectation-maximisation
 estimates from the counts how often documents are good and how each labeller votes on good and on bad
-ones. The posterior of its pattern is a document's soft label; on a bounded sample, these labels train
+ones, and so how accurate it is. The posterior of its pattern is a document's soft label; on a bounded sample, these labels train
 a linear scorer over hashed character trigrams, which then scores every document.
 """
 
@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.common import field, map_arrow, session_of, stored
-from brindle.llm.quality_rules import _per_text, base_counts
-from brindle.llm.spans import VALUES, span_hashes, texts_of, word_spans
+from brindle.llm.quality_rules import _distinct, _per_text, base_counts
+from brindle.llm.spans import FOLDED, span_hashes, texts_of, word_spans
 
 #: Documents the scorer is trained on, about; buckets of trigrams; score from which a document is kept.
 TRAIN_ROWS, BUCKETS, KEEP = 8000, 1 << 16, 0.5
+#: Trigrams of weight 0 that each text is taken to have besides its own: short texts stay near the bias.
+CALM = 64
 ROUNDS, STEPS = 60, 200
+#: Observations that stand for what a labeller is meant to say.
+PRIOR_VOTES = 10.0
 
 #: Frequent function words of some languages.
 STOP_WORDS = """the of and to in a is that it was for on are with as be at from or an this by
@@ -39,65 +43,75 @@ _STOPS[[ord(c) for c in ".!?:;\"'"]] = True
 def _stop_hashes() -> np.ndarray:
     raw = np.frombuffer("".join(sorted(set(STOP_WORDS))).encode(), np.uint8)
     ends = np.cumsum([len(x) for x in sorted(set(STOP_WORDS))])
-    return np.sort(span_hashes(raw, np.concatenate([[0], ends[:-1]]), ends, VALUES))
+    return np.sort(span_hashes(raw, np.concatenate([[0], ends[:-1]]), ends, FOLDED))
 
 
 def _vote(value: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.where(bad, -1, np.where(good, 1, 0)).astype(np.int8)
 
 
-LABELLERS = ("length", "signs", "repeats", "lines", "capitals", "function_words", "word_length")
+LABELLERS = ("length", "signs", "repeats", "variety", "runs", "lines", "capitals", "function_words", "word_length")
 
 
 def votes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A column of votes for each of LABELLERS."""
+    """A column of votes for each of LABELLERS; most say nothing of short texts."""
     spans = starts, ends, owner = word_spans(data, at)
     n = len(at) - 1
     c = base_counts(data, at, spans)
-    words = np.maximum(1, c["n_words"])
+    count = c["n_words"]
+    words = np.maximum(1, count)
     letters = np.maximum(1, _per_text(_LETTER[data], at))
     capitals = _per_text(_UPPER[data], at) / letters
-    lines = np.maximum(1, _per_text(data == 10, at) + 1)
+    lines = _per_text(data == 10, at) + 1
     known = _stop_hashes()
-    hashes = span_hashes(data, starts, ends)
+    hashes = span_hashes(data, starts, ends, FOLDED)
     place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     stops = np.bincount(owner[known[place] == hashes], minlength=n) / words
+    again = np.bincount(owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])], minlength=n) / words
+    variety = _distinct(hashes, owner, n) / words
     repeats, signs = c["n_repeat_words"] / words, c["n_symbols"] / words
     mean = c["word_chars"] / words
+    some, long = count >= 20, count >= 50
     return np.stack([
-        _vote(words, c["n_words"] >= 100, c["n_words"] < 20),
-        _vote(signs, signs < 0.02, signs > 0.15),
-        _vote(repeats, repeats < 0.15, repeats > 0.4),
-        _vote(lines, (c["n_dup_lines"] == 0) & (lines > 2), c["n_dup_lines"] > 0.3 * lines),
-        _vote(capitals, capitals < 0.2, capitals > 0.5),
-        _vote(stops, stops > 0.1, stops < 0.02),
-        _vote(mean, (mean > 3.5) & (mean < 8), (mean < 2.5) | (mean > 12)),
+        _vote(words, long, count == 0),
+        _vote(signs, some & (signs < 0.05), some & (signs > 0.15)),
+        _vote(repeats, long & (repeats < 0.15), long & (repeats > 0.4)),
+        _vote(variety, long & (variety > 0.3), long & (variety < 0.12)),
+        _vote(again, some & (again < 0.1), some & (again > 0.3)),
+        _vote(lines, (c["n_dup_lines"] == 0) & (lines > 2), (lines > 4) & (c["n_dup_lines"] > 0.5 * lines)),
+        _vote(capitals, some & (capitals < 0.2), some & (capitals > 0.5)),
+        _vote(stops, long & (stops > 0.1), long & (stops < 0.02)),
+        _vote(mean, some & (mean > 3.5) & (mean < 8), some & ((mean < 2.5) | (mean > 12))),
     ], 1)
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, table[labeller, good?, vote + 1], and each pattern's posterior of being good.
 
-    Starts from the majority of the votes; one observation of each vote is added everywhere, so no
-    vote is ever impossible.
+    A labeller that doesn't vote says nothing: the table has the shares among its votes.
+    Defects are rare and each is known to few labellers, so the start takes a document for bad if any
+    labeller does. PRIOR_VOTES observations of each vote, shared out as labellers are meant to vote,
+    are added: no vote is ever impossible, and none turns against its meaning on little evidence.
     """
     k = patterns.shape[1]
-    good = np.clip(0.5 + 0.4 * np.sign(patterns.sum(1)), 0.1, 0.9)
+    good = np.where((patterns < 0).any(1), 0.1, 0.9)
     prior, table = 0.5, np.full((k, 2, 3), 1 / 3)
+    meant = PRIOR_VOTES * np.array([[0.5, 0, 0.5], [0.02, 0, 0.98]])
     for _ in range(rounds):
         mass = np.stack([counts * (1 - good), counts * good])
         prior = float((mass[1].sum() + 1) / (mass.sum() + 2))
         for j in range(k):
             for y in (0, 1):
-                table[j, y] = np.bincount(patterns[:, j] + 1, mass[y], 3) + 1
-                table[j, y] /= table[j, y].sum()
-        logs = np.stack([np.log(1 - prior if y == 0 else prior) + sum(np.log(table[j, y, patterns[:, j] + 1]) for j in range(k)) for y in (0, 1)])
+                table[j, y] = np.bincount(patterns[:, j] + 1, mass[y], 3) + meant[y]
+                table[j, y] /= table[j, y, 0] + table[j, y, 2]
+                table[j, y, 1] = 1
+        logs = [np.log(1 - prior if y == 0 else prior) + sum(np.log(table[j, y, patterns[:, j] + 1]) for j in range(k)) for y in (0, 1)]
         good = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
     return prior, table, good
 
 
 def accuracies(prior: float, table: np.ndarray) -> np.ndarray:
-    """How often each labeller's vote is right when it votes."""
+    """How often each labeller is right when it votes."""
     right = prior * table[:, 1, 2] + (1 - prior) * table[:, 0, 0]
     wrong = prior * table[:, 1, 0] + (1 - prior) * table[:, 0, 2]
     return right / (right + wrong)
@@ -123,7 +137,7 @@ def train_scorer(buckets: np.ndarray, owner: np.ndarray, soft: np.ndarray, steps
         return w
     keys, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
     whose, which = keys // BUCKETS, keys % BUCKETS
-    value = times / np.maximum(1, np.bincount(owner, minlength=n))[whose]
+    value = times / (CALM + np.bincount(owner, minlength=n))[whose]
     balance = soft / max(soft.sum(), 1e-9) + (1 - soft) / max((1 - soft).sum(), 1e-9)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -188,7 +202,7 @@ def weak_label_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             data, at = texts_of(b.column(text_col))
             buckets, owner = trigrams(data, at)
             n = np.bincount(owner, minlength=b.num_rows)
-            z = np.bincount(owner, w[buckets], b.num_rows) / np.maximum(1, n) + w[-1]
+            z = np.bincount(owner, w[buckets], b.num_rows) / (CALM + n) + w[-1]
             s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(posterior(data, at)), pa.array(s), pa.array(s >= keep)], names=schema.names)
 
