@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from brindle.plans.catalogue import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["flagship"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
