@@ -32,6 +32,6 @@ def analyze(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     total = df.agg(count_star().alias("cardinality"))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns)))
     seen = df.select(pairs.alias("p")).select("p.*").distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))
     counted = names.join(seen, "column_name", "left").select("column_name", F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"))
     return counted.crossJoin(F.broadcast(total))  # total is one row

@@ -16,12 +16,17 @@ def scan(spark: SparkSession, sf_dir: str, name: str, alias: str | None = None)
 
 
 def values(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
-    """An inline table. All rows are checked against the schema, not only the first."""
+    """An inline table, made of literals. All rows are checked against the schema, not only the first."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    check = T._make_type_verifier(kind)
     for i, row in enumerate(rows):
         if len(row) != len(kind.fields):
             raise ValueError(f"VALUES row {i + 1} has {len(row)} items, not {len(kind.fields)}")
-    return spark.createDataFrame([tuple(r) for r in rows], kind)
+        check(tuple(row))
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
+    structs = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields, strict=True))) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("row")).select("row.*")
 
 
 def one_row(spark: SparkSession, **columns: Column) -> DataFrame:
