@@ -21,29 +21,30 @@ from brindle.llm.common import field, map_arrow, session_of
 #: n-grams in a profile; n-grams of a document that are compared; labelled rows that profiles are learned from, about.
 PROFILE, TOP, TRAIN_ROWS = 300, 300, 20_000
 _BITS = 21  # of a code point
+_FRAME = np.uint64(1)  # stands for the border of a word; no letter has this code point
 
 
 def _letters(text: str) -> np.ndarray:
-    """Code points of the text in lower case, each run of other characters than letters as one 0, framed by 0."""
+    """Code points of the text in lower case, each run of other characters than letters as one _FRAME, with one at either end."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     seen, where = np.unique(points, return_inverse=True)
-    points = np.where(np.array([chr(int(p)).isalpha() for p in seen], bool)[where], points, np.uint64(0)) if len(points) else points
-    points = np.concatenate([[np.uint64(0)], points, [np.uint64(0)]])
+    points = np.where(np.array([chr(int(p)).isalpha() for p in seen], bool)[where], points, _FRAME) if len(points) else points
+    points = np.concatenate([[_FRAME], points, [_FRAME]])
     keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+    keep[1:] = (points[1:] != _FRAME) | (points[:-1] != _FRAME)
     return points[keep]
 
 
 def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the text (61 bits: up to three code points) and how often each occurs; none if it has no letter."""
     p = _letters(text)
-    if len(p) < 2:
+    if len(p) < 2:  # only a frame: no letter
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     s = np.uint64(_BITS)
     two = p[:-1] << s | p[1:]
     three = two[:-1] << s | p[2:]
-    # Zero frames a word; a gram of the frame alone, or with a frame inside, says nothing.
-    grams = np.concatenate([p[p > 0], two[two > 0], three[(p[1:-1] > 0)]])
+    # A gram of the frame alone, or with a frame inside, says nothing.
+    grams = np.concatenate([p[p != _FRAME], two, three[p[1:-1] != _FRAME]])
     return np.unique(grams, return_counts=True)
 
 
