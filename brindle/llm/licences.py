@@ -54,11 +54,15 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _lower(text: str) -> str:
+    """Lower case, character by character: the few whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
     """Spans from the first to the last line with a cue of each block; long lines are cut to GAP characters around the cue."""
-    low = text.lower()
-    if len(low) != len(text):  # a few characters change their length in lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = _lower(text)
     if not any(p in low for p in _CUE_PARTS):
         return []
     out: list[list[int]] = []
@@ -86,8 +90,15 @@ def _compressors():
 
 
 def differences(template: list[str], words: list[str]) -> tuple[int, int, int, int]:
-    """Words of the template that are missing, words between its first and last match that are extra, and that span."""
+    """Words of the template that are missing, words between its first and last match that are extra, and that span.
+
+    A match at either end that is a small island, far from the next, is chance and is left out.
+    """
     found = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
+    while len(found) > 1 and found[1].b - found[0].b - found[0].size > 3 * found[0].size:
+        found.pop(0)
+    while len(found) > 1 and found[-1].b - found[-2].b - found[-2].size > 3 * found[-1].size:
+        found.pop()
     if not found:
         return len(template), 0, 0, 0
     matched = sum(m.size for m in found)
@@ -103,27 +114,45 @@ def ranked_templates(block: str) -> list[tuple[float, str]]:
     return sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in known.items()), key=lambda x: (-x[0], x[1]))
 
 
+def _best_in(text: str, start: int, end: int, least: int, most: int) -> dict | None:
+    """The license confirmed in a block, looked for up to GAP characters beyond it, from least to most."""
+    _, _, templates = _compressors()
+    around = max(least, start - GAP)
+    places = [(m.start() + around, m.end() + around) for m in _WORD.finditer(_lower(text[around : min(most, end + GAP)]))]
+    words = [_lower(text[s:e]) for s, e in places]
+    best = None
+    for reduction, name in ranked_templates(text[start:end])[:CONFIRMED]:
+        if reduction < LEAST_REDUCTION:
+            continue
+        own = templates[name]
+        missing, extra, first, last = differences(own, words)
+        if missing + extra <= MOST_DIFFERENT * len(own):
+            # The fewest differences win, then the longest wording: a full text over its notice.
+            rank = (missing + extra) / len(own), -len(own), -reduction, name
+            if best is None or rank < best[0]:
+                best = rank, {"start": places[first][0], "end": places[last - 1][1], "license": name, "reduction": round(reduction, 6), "missing": missing, "extra": extra}
+    return best[1] if best else None
+
+
 def scan_text(text: str | None) -> list[dict]:
-    """Confirmed licenses: span of the block (code points), name, reduction, words missing and extra."""
-    out = []
-    for start, end in candidate_blocks(text or ""):
-        block = text[start:end]
-        _, _, templates = _compressors()
-        words = words_of(block)
-        best = None
-        for reduction, name in ranked_templates(block)[:CONFIRMED]:
-            if reduction < LEAST_REDUCTION:
-                continue
-            own = templates[name]
-            missing, extra, _, _ = differences(own, words)
-            if missing + extra <= MOST_DIFFERENT * len(own):
-                # The fewest differences win, then the longest wording: a full text over its notice.
-                rank = (missing + extra) / len(own), -len(own), -reduction, name
-                if best is None or rank < best[0]:
-                    best = rank, {"start": start, "end": end, "license": name, "reduction": round(reduction, 6), "missing": missing, "extra": extra}
-        if best:
-            out.append(best[1])
-    return out
+    """Confirmed licenses: span of the wording (code points), name, reduction, words missing and extra.
+
+    What stands before and after a license in its block is searched again, so a block may hold several.
+    """
+    out: list[dict] = []
+    text = text or ""
+    blocks = [(s, e, 0, len(text)) for s, e in candidate_blocks(text)]
+    while blocks:
+        start, end, least, most = blocks.pop()
+        found = _best_in(text, start, end, least, most)
+        if not found:
+            continue
+        if not any(f["start"] < found["end"] and found["start"] < f["end"] for f in out):
+            out.append(found)
+        for s, e, low, high in ((start, min(end, found["start"]), least, found["start"]), (max(start, found["end"]), end, found["end"], most)):
+            if s < e and _CUE.search(_lower(text[s:e])):
+                blocks.append((s, e, low, high))
+    return sorted(out, key=lambda f: f["start"])
 
 
 FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")] + [T.StructField("license", T.StringType()), T.StructField("reduction", T.DoubleType()), T.StructField("missing", T.LongType()), T.StructField("extra", T.LongType())])
