@@ -82,3 +82,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def field(df: DataFrame, name: str) -> T.StructField:
     return T.StructField(name, df.schema[name].dataType, True)
+
+
+def fresh_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has, for columns that are added for a while."""
+    prefix = "__x"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "x"
+    return prefix

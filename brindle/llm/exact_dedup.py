@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import field, join_hot, map_arrow, session_of, stored
+from brindle.llm.common import field, fresh_prefix, join_hot, map_arrow, session_of, stored
 
 #: Cells for each row, hashes of each row, and most cells of one filter (a bit each on the driver: 32 MB).
 CELLS, PROBES, MAX_CELLS = 8, 3, 1 << 28
@@ -59,6 +59,8 @@ def _cell_counts(cells: int):
         place, n = np.unique(np.concatenate(hits), return_counts=True)
         segment = (place >> np.uint64(_SEGMENT)).astype(np.int64)
         low = (place & np.uint64((1 << _SEGMENT) - 1)).astype("<u2")
+        if not len(place):
+            return
         borders = np.flatnonzero(np.diff(segment, prepend=-1))
         for a, b in zip(borders, np.append(borders[1:], len(place)), strict=True):
             one = n[a:b] == 1
@@ -166,7 +168,8 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     largest id, any one stays. Nulls and empty tables as in ``exact_dedup``.
     """
     probed, _, filters, rounds = _probed(df, id_col, text_col, round_rows)
-    marks = ["__sha", "__maybe"]
+    p = fresh_prefix(df)
+    marks = [f"{p}sha", f"{p}maybe"]
 
     def mark(batches):
         for b in batches:
@@ -174,6 +177,7 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns, sha, pa.array(_flags(_flat(sha), filters, rounds))], names=[*b.schema.names, *marks])
 
     marked = map_arrow(df, mark, T.StructType([*df.schema.fields, T.StructField(marks[0], T.BinaryType()), T.StructField(marks[1], T.BooleanType())]))
-    keep = _groups(probed, id_col).select(F.col("sha").alias("__key"), F.col("keep_id").alias("__keep"))
-    settled = marked.where("__maybe").join(keep, (F.col("__sha") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["__sha"])
-    return marked.where("NOT __maybe").drop(*marks).unionByName(settled.drop(*marks))
+    keep = _groups(probed, id_col).select(F.col("sha").alias(f"{p}key"), F.col("keep_id").alias(f"{p}keep"))
+    same = (F.col(marks[0]) == F.col(f"{p}key")) & F.col(id_col).eqNullSafe(F.col(f"{p}keep"))
+    settled = marked.where(F.col(marks[1])).join(keep, same, "left_semi").dropDuplicates([marks[0]])
+    return marked.where(~F.col(marks[1])).drop(*marks).unionByName(settled.drop(*marks))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import field, join_hot, map_arrow, stored
+from brindle.llm.common import fresh_prefix, join_hot, map_arrow, stored
 from brindle.llm.components import components
 from brindle.llm.signature_tree import Groups, bitmap, similar_groups, width_of
 from brindle.llm.spans import FOLDED, span_hashes, texts_of, window_hashes, word_spans
@@ -270,6 +270,7 @@ def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = _labelled(_salted(df, id_col, text_col), chunk_tokens)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "salt")).alias("first")
     chosen = named.where(F.col("root").isNotNull()).groupBy("root").agg(first).select("first.id", "first.salt")
-    chosen = chosen.unionByName(named.where(F.col("root").isNull()).select("id", "salt")).select(F.col("id").alias("__id"), F.col("salt").alias("__salt"))
-    rows = df.withColumn("__text_hash", F.xxhash64(text_col))
-    return rows.join(chosen, rows[id_col].eqNullSafe(chosen["__id"]) & (rows["__text_hash"] == chosen["__salt"]), "left_semi").drop("__text_hash")
+    p = fresh_prefix(df)
+    chosen = chosen.unionByName(named.where(F.col("root").isNull()).select("id", "salt")).select(F.col("id").alias(f"{p}id"), F.col("salt").alias(f"{p}salt"))
+    rows = df.withColumn(f"{p}hash", F.xxhash64(text_col))
+    return rows.join(chosen, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}salt")), "left_semi").drop(f"{p}hash")

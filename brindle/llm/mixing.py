@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stored
+from brindle.llm.common import fresh_prefix, stored
 
 #: Words of a block, slots of an output shard, passes over a source at most, weights by the source's place.
 BLOCK_WORDS, SHARD_SLOTS, MOST, WEIGHTS = 32, 1 << 15, 3, (1, 2, 3)
@@ -147,12 +147,15 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     mix = Mix(df, id_col, text_col, source_col, **options)
     part = F.struct("first", "words", "times")
     takes = mix.pieces().where(F.col("words").isNotNull()).groupBy("sid", "chunk", "number", "id", "size", "salt").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("times").alias("turns"), F.min("times").alias("least"))
-    takes = takes.where(F.col("turns") > 0).select(F.col("id").alias("__id"), F.col("salt").alias("__salt"), F.col("parts").alias("__parts"), F.col("least").alias("__least"), F.explode(F.expr("sequence(1L, turns)")).alias("__turn"))
-    takes = takes.dropDuplicates(["__id", "__salt", "__turn"])
-    rows = df.withColumn("__key", F.xxhash64(text_col)).join(takes, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__salt")))
+    p = fresh_prefix(df)
+    takes = takes.where(F.col("turns") > 0).select(
+        F.col("id").alias(f"{p}id"), F.col("salt").alias(f"{p}salt"), F.col("parts").alias(f"{p}parts"), F.col("least").alias(f"{p}least"), F.explode(F.expr("sequence(1L, turns)")).alias(f"{p}turn")
+    ).dropDuplicates([f"{p}id", f"{p}salt", f"{p}turn"])
+    rows = df.withColumn(f"{p}key", F.xxhash64(text_col)).join(takes, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}salt")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"(^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    chosen = F.expr("concat_ws('', flatten(transform(filter(__parts, p -> p.times >= __turn), p -> slice(__words, int(p.first + 1), int(p.words)))))")
-    out = rows.withColumn("__words", F.when(F.col("__least") < F.col("__turn"), words)).withColumn(text_col, F.when(F.col("__least") >= F.col("__turn"), F.col(text_col)).otherwise(chosen))
+    whole = F.col(f"{p}least") >= F.col(f"{p}turn")
+    chosen = F.expr(f"concat_ws('', flatten(transform(filter({p}parts, x -> x.times >= {p}turn), x -> slice({p}words, int(x.first + 1), int(x.words)))))")
+    out = rows.withColumn(f"{p}words", F.when(~whole, words)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(chosen))
     if count_col and count_col in df.columns:
         out = out.withColumn(count_col, F.length(text_col).cast(df.schema[count_col].dataType))
     return out.select(*df.columns)
