@@ -1,0 +1,88 @@
+"""Packing: every id in one piece, offsets without gaps, little padding."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from brindle.llm.common import vocabulary
+from brindle.llm.packing import combinations, pack, pack_rests, rounded, solve_counts
+from brindle.llm.tokens import unit_encoder
+from tests.llm.cases import tables
+
+
+def laid_out(rows, window):
+    """Checks pieces (sequence, offset, length) and gives the sequences' lengths."""
+    by = defaultdict(list)
+    for sequence, offset, length in rows:
+        by[sequence].append((offset, length))
+    sizes = []
+    for pieces in by.values():
+        over = 0
+        for offset, length in sorted(pieces):
+            assert offset == over and length > 0
+            over += length
+        assert over <= window
+        sizes.append(over)
+    return sizes
+
+
+@given(st.lists(st.integers(0, 63), max_size=200))
+@settings(max_examples=120, deadline=None)
+def test_rests(rests):
+    out = pack_rests(np.array(rests, np.int64), 64)
+    seen = defaultdict(list)
+    for doc, start, length, _, _ in out:
+        seen[doc].append((start, length))
+    for doc, n in enumerate(rests):
+        over = 0
+        for start, length in sorted(seen[doc]):
+            assert start == over
+            over += length
+        assert over == n
+    sizes = laid_out([(s, o, n) for _, _, n, s, o in out], 64)
+    assert all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_least_squares():
+    stock = np.zeros(17)
+    stock[[4, 6, 12, 5]] = [20, 10, 20, 3]
+    combos = combinations(np.flatnonzero(stock), 16)
+    assert [4, 6, 6] in combos.tolist() and [0, 4, 12] in combos.tolist() and (combos.sum(1) == 16).all()
+    x = solve_counts(combos, stock, 2000)
+    assert (x >= 0).all()
+    matrix = np.zeros((17, len(combos)))
+    for j, c in enumerate(combos):
+        for v in c[c > 0]:
+            matrix[v, j] += 1
+    gradient = matrix.T @ (matrix @ x - stock)
+    assert (gradient > -1e-2).all() and abs(gradient @ x) < 0.1  # the conditions of a non-negative optimum
+    used, left = rounded(combos, x, stock.astype(np.int64))
+    assert (left >= 0).all() and left.sum() + sum(k * len(v) for k, v in used) == stock.sum()
+
+
+@pytest.mark.parametrize("window", [16, 1024])
+def test_pieces(spark, window):
+    encoder = unit_encoder(vocabulary())
+    for df, rows in tables(spark):
+        got = pack(df, vocabulary(), window, 0, with_ids=True).collect()
+        sizes = laid_out([(r.sequence_id, r.offset, r.length) for r in got], window)
+        assert all(n == window or n & (n - 1) == 0 for n in sizes)
+        want = sorted((str(i), [*encoder.one(x or "").tolist(), 0]) for i, x, *_ in rows)
+        docs = defaultdict(list)
+        for r in got:
+            assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+            docs[str(r.doc_id)].append((r.start, r.ids, r.doc_tokens))
+        whole = sorted((i, sum(len(p[1]) for p in ps)) for i, ps in docs.items())
+        totals = defaultdict(int)
+        for i, ids in want:
+            totals[i] += len(ids)
+        assert whole == sorted(totals.items())
+        for i, ids in want:
+            if i == "9":  # a repeated row: its pieces come twice
+                continue
+            assert [x for _, part, _ in sorted(docs[i]) for x in part] == ids
+            assert {n for _, _, n in docs[i]} == {len(ids)}
