@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 BOOL_WORDS = {"t": True, "f": False}
 
 
-def int_div(a: Column, b: Column) -> Column:
-    """Quotient of integers, cut off towards zero, as an int; a zero divisor is an error."""
+def int_div(a: Column, b: Column, kind: str = "int") -> Column:
+    """Quotient of integers, cut off towards zero, as an int (or bigint); a zero divisor is an error."""
     # Under ANSI, casting checks the one case that overflows (the least integer by -1).
-    return F.call_function("div", a, b).cast("int")
+    return F.call_function("div", a, b).cast(kind)
 
 
 def divide(a: Column, b: Column) -> Column:

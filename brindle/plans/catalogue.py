@@ -13,6 +13,7 @@ from brindle.operators import dml as M
 from brindle.operators import joins as J
 from brindle.operators import relational as R
 from brindle.sources.tables import catalog_tables, one_row, scan, values
+from brindle.sql.binder import select_over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -469,6 +470,29 @@ def delete_all(t, spark, sf):
     return M.delete(t("region"))
 
 
+# ---- the SQL dialect, lowered to the same plans ----
+
+
+def _dialect(name: str, text: str, oracle: str | None = None) -> None:
+    def run(t, spark, sf):
+        names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+        return select_over({n: t(n) for n in names}, text)
+
+    run.__name__ = f"sql_{name}"
+    query(oracle or text)(run)
+
+
+_dialect("select", "SELECT p_partkey AS k, p_size * 2 + 1 AS odd, -p_size AS neg, lower(p_brand) AS brand FROM part WHERE p_size BETWEEN 5 AND 30 AND p_name LIKE '%r%'")
+_dialect("int_div", "SELECT p_partkey, p_size / 7 AS q FROM part WHERE NOT p_size / 7 = 2", "SELECT p_partkey, CAST(p_size // 7 AS INTEGER) AS q FROM part WHERE NOT p_size // 7 = 2")
+_dialect("length", "SELECT n_name, length(n_name) AS bytes FROM nation", "SELECT n_name, CAST(strlen(n_name) AS INTEGER) AS bytes FROM nation")
+_dialect("joins", "SELECT c.c_custkey AS k, n.n_name AS nation, r.r_name AS region FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name <> 'ASIA' WHERE c.c_acctbal > 0")
+_dialect("comma_join", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND (r_name IN ('ASIA', 'EUROPE') OR n_nationkey < 3)")
+_dialect("group", "SELECT n_regionkey AS r, count(*) AS n, count(DISTINCT c_mktsegment) AS segments, max(c_custkey) AS last FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY r HAVING count(*) > 1")
+_dialect("scalar_aggregate", "SELECT count(*) AS n, min(p_size) AS least, avg(p_size) AS mean FROM part WHERE p_size > 3 AND p_brand IS NOT NULL")
+_dialect("distinct", "SELECT DISTINCT o_orderstatus AS s, o_custkey / 100 AS hundreds FROM orders", "SELECT DISTINCT o_orderstatus AS s, o_custkey // 100 AS hundreds FROM orders")
+_dialect("top", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 12 OFFSET 4")
+
+
 # ---- composite plans over the star schema ----
 
 _PRICE = "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"

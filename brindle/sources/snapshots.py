@@ -77,6 +77,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, database: str = "main"):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+        self.folders_read = 0
         if not self._versions():
             self.files.create(self._file(0), json.dumps(empty_state(database)))
 
@@ -114,6 +115,7 @@ class Store:
         schema = T.StructType([*self.schema(table).fields, *(T.StructField(c, T.LongType()) for c in KEYS)])
         if not segments:
             return self.spark.createDataFrame([], schema)
+        self.folders_read += len(segments) + len(removed)
         rows = self.spark.read.schema(schema).parquet(*segments)
         if not removed:
             return rows

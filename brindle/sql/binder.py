@@ -20,7 +20,7 @@ from brindle.sql.errors import EngineError
 
 _NUMBERS = ("int", "double", "uint")
 _SPARK = {"int": "int", "double": "double", "string": "string", "bool": "boolean", "uint": "bigint", "null": "void"}
-KIND_OF = {"int": "int", "double": "double", "char": "string", "varchar": "string", "uint": "uint"}
+KIND_OF = {"int": "int", "double": "double", "char": "string", "varchar": "string", "uint": "uint", "bool": "bool", "other": "other"}
 
 
 @dataclass(frozen=True)
@@ -137,10 +137,10 @@ class Expressions:
         if e.op in ("+", "-", "*", "/"):
             for kind in (ka, kb):
                 self._want(kind, _NUMBERS, e.op)
-            kind = "double" if "double" in (ka, kb) else "int"
+            kind = "double" if "double" in (ka, kb) else "uint" if "uint" in (ka, kb) else "int"
             a, b = a.cast(_SPARK[kind]), b.cast(_SPARK[kind])
             if e.op == "/":
-                return (S.int_div(a, b) if kind == "int" else S.divide(a, b)), kind
+                return (S.divide(a, b) if kind == "double" else S.int_div(a, b, _SPARK[kind])), kind
             return {"+": a + b, "-": a - b, "*": a * b}[e.op], kind
         a, b = self._comparable(a, ka, b, kb)
         return {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e.op], "bool"
@@ -226,6 +226,10 @@ def aggregate(call: X.Call, inner: Expressions) -> tuple[Column, str]:
     return {"min": F.min, "max": F.max}[call.name](column), kind
 
 
+#: Kinds of Spark's types; columns of any other type can be selected, counted and tested for null.
+_FROM_SPARK = {"int": "int", "smallint": "int", "tinyint": "int", "bigint": "uint", "double": "double", "float": "double", "string": "varchar", "boolean": "bool"}
+
+
 @dataclass
 class Bound:
     df: DataFrame
@@ -476,3 +480,20 @@ class Binder:
         if node.having is not None:
             rows = rows.where(outer.condition(node.having, "HAVING"))
         return rows, outer_items, outer
+
+
+def select_over(tables: dict[str, DataFrame], text: str, force_join: str = "none") -> DataFrame:
+    """The rows of a SELECT of the dialect over DataFrames by name; output columns must have different names."""
+    (statement,) = X.parse(text)
+    if not isinstance(statement, X.Select):
+        raise EngineError("only SELECT can be run over DataFrames")
+    spark = next(iter(tables.values())).sparkSession
+
+    def lookup(name: str):
+        if name not in tables:
+            raise EngineError(f'table "{name}" does not exist')
+        df = tables[name]
+        return df, [(c, _FROM_SPARK.get(kind, "other"), 0) for c, kind in df.dtypes], None
+
+    bound = Binder(spark, lookup, force_join).select(statement)
+    return bound.df.toDF(*bound.names)

@@ -224,3 +224,29 @@ def test_writers(engine):
     assert result.text() == "1 NULL 0.3 <x>"
     assert "| a | b    | c   | d   |" in result.text("table")
     assert "<td>&lt;x&gt;</td>" in result.text("html")
+
+
+def test_computed_variables(engine):
+    c = engine.connect()
+    c.execute("create table t(id int); insert into t values (1); select * from t")
+    assert c.query("show redo_count").text() == "0" and int(c.query("show disk_access_count").text()) > 0
+
+
+def test_select_over_frames(spark):
+    from brindle.sql.binder import select_over
+
+    df = spark.createDataFrame([(2**40, None, True)], "big long, at timestamp, flag boolean")
+    assert [tuple(r) for r in select_over({"t": df}, "select big + 1 as b, at is null as n, flag and true as f, big / 2 as h from t").collect()] == [(2**40 + 1, True, True, 2**39)]
+    for bad in ("insert into t values (1)", "select * from other", "select at + 1 from t"):
+        with pytest.raises(EngineError):
+            select_over({"t": df}, bad)
+
+
+def test_shell(engine):
+    import io
+
+    from brindle.__main__ import loop
+
+    out = io.StringIO()
+    loop(engine.connect(), io.StringIO("create table t(id int);\ninsert into t\nvalues (1), (2);\n\\d\nselect x from t;\nselect id from t\norder by id;\n\\q\nselect 9;\n"), out, "plain")
+    assert out.getvalue().split("\n")[:6] == ["CREATE TABLE", "2", "t", 'Error: column "x" does not exist', "1", "2"]
