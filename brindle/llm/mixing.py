@@ -122,7 +122,8 @@ class Mix:
         first = F.greatest(F.col("position"), F.col("block") * w) - F.col("position")
         until = F.least(F.col("position") + F.col("size"), (F.col("block") + 1) * w) - F.col("position")
         rows = rows.withColumn("first", first).withColumn("words", until - first)
-        times = self.slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+        # The optimizer takes the slots, which come from a row for each source, to be few: it must not broadcast them.
+        times = self.slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         return rows.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
     def taken(self) -> DataFrame:
