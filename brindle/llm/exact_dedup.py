@@ -18,13 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.bloom import CELLS, MAX_CELLS, bloom_filter, flat, may_hold
 from brindle.llm.common import field, fresh_prefix, join_hot, map_arrow, session_of, stored
 
-#: Cells for each row, hashes of each row, and most cells of one filter (a bit each on the driver: 32 MB).
-CELLS, PROBES, MAX_CELLS = 8, 3, 1 << 28
-_SEGMENT = 16  # bits of a place within a segment of the filter
-
-
 def normal_digest(text: str | None) -> bytes:
     """SHA-256 of the text, A-Z lower-cased, in UTF-8; a null counts as empty."""
     return hashlib.sha256((text or "").encode().lower()).digest()  # bytes.lower() folds A-Z alone
@@ -34,73 +30,17 @@ def _digests(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(x.lower()).digest() for x in texts.fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
 
 
-def _places(digests: np.ndarray, cells: int) -> np.ndarray:
-    """PROBES places for each digest (rows of 32 bytes)."""
-    words = digests.reshape(-1, 32).view("<u8")
-    step = words[:, 1] | np.uint64(1)
-    return (words[:, :1] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(cells - 1)
-
-
 def _rounds_of(digests: np.ndarray, rounds: int) -> np.ndarray:
     return (digests.reshape(-1, 32).view("<u8")[:, 2] % np.uint64(rounds)).astype(np.int64)
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-
-
-def _cell_counts(cells: int):
-    """Once for each partition: the places hit once, and those hit more often, by segment."""
-
-    def run(batches):
-        hits = [np.zeros(0, np.uint64)]
-        for b in batches:
-            hits.append(_places(_flat(b.column("sha")), cells).ravel())
-        place, n = np.unique(np.concatenate(hits), return_counts=True)
-        segment = (place >> np.uint64(_SEGMENT)).astype(np.int64)
-        low = (place & np.uint64((1 << _SEGMENT) - 1)).astype("<u2")
-        if not len(place):
-            return
-        borders = np.flatnonzero(np.diff(segment, prepend=-1))
-        for a, b in zip(borders, np.append(borders[1:], len(place)), strict=True):
-            one = n[a:b] == 1
-            yield pa.RecordBatch.from_pydict({"segment": [int(segment[a])], "once": [low[a:b][one].tobytes()], "more": [low[a:b][~one].tobytes()]})
-
-    return run
-
-
-def _merged(pdf):
-    import pandas as pd
-
-    n = np.zeros(1 << _SEGMENT, np.int32)
-    for once, more in zip(pdf["once"], pdf["more"], strict=True):
-        n[np.frombuffer(once, "<u2")] += 1
-        n[np.frombuffer(more, "<u2")] += 2
-    return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [np.packbits(n >= 2).tobytes()]})
-
-
-def repeat_filter(digests: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """The bits of cells that were hit twice or more, over a table with a column sha, and their number."""
-    cells = 1 << max(_SEGMENT, int(np.ceil(np.log2(max(1, CELLS * rows)))))
-    parts = map_arrow(digests.select("sha"), _cell_counts(cells), "segment long, once binary, more binary")
-    bits = np.zeros((cells >> _SEGMENT, 1 << (_SEGMENT - 3)), np.uint8)
-    for row in parts.groupBy("segment").applyInPandas(_merged, "segment long, bits binary").collect():
-        bits[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return bits.ravel(), cells
-
-
-def maybe_repeated(digests: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
-    place = _places(digests, cells)
-    return ((bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7)))) & 1).all(axis=1)
-
-
 def _filters(digests: DataFrame, rows: int, round_rows: int):
     """A broadcast filter for each round."""
     spark, rounds = session_of(digests), max(1, -(-rows // round_rows))
     out = []
     for k in range(rounds):
         part = digests if rounds == 1 else digests.where(F.col("round") == k)
-        out.append(repeat_filter(part, -(-rows // rounds)))
+        out.append(bloom_filter(part, -(-rows // rounds), least=2))
     return [(spark.sparkContext.broadcast(bits), cells) for bits, cells in out], rounds
 
 
@@ -110,7 +50,7 @@ def _flags(digests: np.ndarray, filters, rounds: int) -> np.ndarray:
     table = digests.reshape(-1, 32)
     for k in np.unique(where):
         at = where == k
-        out[at] = maybe_repeated(np.ascontiguousarray(table[at]).ravel(), filters[k][0].value, filters[k][1])
+        out[at] = may_hold(np.ascontiguousarray(table[at]).ravel(), filters[k][0].value, filters[k][1])
     return out
 
 
@@ -118,7 +58,7 @@ def _hash_rows(id_col: str, text_col: str, rounds_known: int):
     def run(batches):
         for b in batches:
             sha = _digests(b.column(text_col))
-            rounds = _rounds_of(_flat(sha), rounds_known) if len(sha) else np.zeros(0, np.int64)
+            rounds = _rounds_of(flat(sha), rounds_known) if len(sha) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(id_col), sha, pa.array(rounds)], names=[id_col, "sha", "round"])
 
     return run
@@ -134,7 +74,7 @@ def _probed(df: DataFrame, id_col: str, text_col: str, round_rows: int):
 
     def probe(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_flags(_flat(b.column("sha")), filters, rounds))], names=[*b.schema.names, "maybe"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_flags(flat(b.column("sha")), filters, rounds))], names=[*b.schema.names, "maybe"])
 
     return stored(map_arrow(digests, probe, T.StructType([*schema.fields, T.StructField("maybe", T.BooleanType())])), "probed"), rows, filters, rounds
 
@@ -174,7 +114,7 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def mark(batches):
         for b in batches:
             sha = _digests(b.column(text_col))
-            yield pa.RecordBatch.from_arrays([*b.columns, sha, pa.array(_flags(_flat(sha), filters, rounds))], names=[*b.schema.names, *marks])
+            yield pa.RecordBatch.from_arrays([*b.columns, sha, pa.array(_flags(flat(sha), filters, rounds))], names=[*b.schema.names, *marks])
 
     marked = map_arrow(df, mark, T.StructType([*df.schema.fields, T.StructField(marks[0], T.BinaryType()), T.StructField(marks[1], T.BooleanType())]))
     keep = _groups(probed, id_col).select(F.col("sha").alias(f"{p}key"), F.col("keep_id").alias(f"{p}keep"))

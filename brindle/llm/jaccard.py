@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.bloom import digest_of, rows_that_may_match
 from brindle.llm.common import fresh_prefix, join_hot, map_arrow, stored
 from brindle.llm.components import components
 from brindle.llm.signature_tree import Groups, bitmap, similar_groups, width_of
@@ -172,7 +173,7 @@ def _settled(sets: DataFrame) -> DataFrame:
     return map_arrow(sets.select("part", "cls", "label", "tokens").repartition("part").sortWithinPartitions("part"), _settle, _EDGE)
 
 
-def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, rows: int) -> DataFrame:
     """members with the whole sets of their classes, taken from one document of each."""
     schema = T.StructType([*members.drop("rep").schema.fields, T.StructField("tokens", T.BinaryType())])
     names = [f.name for f in schema.fields[:-1]]
@@ -187,7 +188,10 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(left.column(c) for c in names), tokens], names=schema.names)
 
     left = members.withColumns({"__id": F.col("rep.id"), "__salt": F.col("rep.salt")}).drop("rep")
-    joined = docs.join(left, docs["id"].eqNullSafe(left["__id"]) & (docs["salt"] == left["__salt"])).select("text", *names)
+    # Most texts lie in no cluster: a filter of the wanted keys keeps them out of the shuffle.
+    keys = left.select(digest_of(F.col("__id"), F.col("__salt")).alias("sha"))
+    some = rows_that_may_match(docs, digest_of(F.col("id"), F.col("salt")), keys, rows, "wanted").where("wanted").drop("wanted")
+    joined = some.join(left, some["id"].eqNullSafe(left["__id"]) & (some["salt"] == left["__salt"])).select("text", *names)
     return map_arrow(joined, run, schema)
 
 
@@ -202,8 +206,8 @@ def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int) -> DataFrame:
     totals = stored(members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("weight")), "totals")
     chunks = totals.select("cluster", "weight", F.ceil(F.col("tokens") / F.lit(chunk_tokens)).cast("long").alias("chunks"))
     members = join_hot(members, chunks, "cluster", "weight", classes.count())
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
-    sets = _sets(docs, members).withColumn("label", F.col("cls"))
+    members = stored(members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))), "members")
+    sets = _sets(docs, members, members.count()).withColumn("label", F.col("cls"))
     if totals.where(F.col("tokens") > chunk_tokens).isEmpty():
         return components(_settled(sets.withColumn("part", _part("cluster", "chunk"))))
     sets = stored(sets, "sets")
@@ -267,10 +271,16 @@ def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null id comes after all others. Rows without words all stay. Rows equal in id and text are one
     document and stay, or go, together.
     """
-    named = _labelled(_salted(df, id_col, text_col), chunk_tokens)
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "salt")).alias("first")
-    chosen = named.where(F.col("root").isNotNull()).groupBy("root").agg(first).select("first.id", "first.salt")
+    named = stored(_labelled(_salted(df, id_col, text_col), chunk_tokens), "labelled")
+    rows = named.where(F.col("root").isNotNull())
+    best = F.struct(F.col("id").isNull().alias("last"), "id", "salt")
+    first = rows.groupBy("root").agg(F.min(best).alias("first"), F.count(F.lit(1)).alias("weight"))
+    # Those that go are few: only rows a filter takes for one of them are shuffled, the rest pass straight through.
+    gone = join_hot(rows.select("root", "id", "salt"), first, "root", "weight", named.count()).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("salt") == F.col("first.salt"))))
     p = fresh_prefix(df)
-    chosen = chosen.unionByName(named.where(F.col("root").isNull()).select("id", "salt")).select(F.col("id").alias(f"{p}id"), F.col("salt").alias(f"{p}salt"))
-    rows = df.withColumn(f"{p}hash", F.xxhash64(text_col))
-    return rows.join(chosen, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}salt")), "left_semi").drop(f"{p}hash")
+    gone = stored(gone.select(F.col("id").alias(f"{p}id"), F.col("salt").alias(f"{p}salt")).distinct(), "gone")
+    keys = gone.select(digest_of(F.col(f"{p}id"), F.col(f"{p}salt")).alias("sha"))
+    marked = rows_that_may_match(df, digest_of(F.col(id_col), F.xxhash64(text_col)), keys, gone.count(), f"{p}may")
+    doubtful = marked.where(F.col(f"{p}may")).drop(f"{p}may").withColumn(f"{p}hash", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}salt"))
+    return marked.where(~F.col(f"{p}may")).drop(f"{p}may").unionByName(doubtful.join(gone, same, "left_anti").drop(f"{p}hash"))

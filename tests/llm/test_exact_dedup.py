@@ -6,7 +6,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from brindle.llm.exact_dedup import exact_dedup, exact_dedup_rows, maybe_repeated, normal_digest, repeat_filter
+from brindle.llm.bloom import bloom_filter, may_hold
+from brindle.llm.exact_dedup import exact_dedup, exact_dedup_rows, normal_digest
 from tests.llm.cases import SCHEMA, awkward, collected, frame, tables
 
 
@@ -49,9 +50,12 @@ def test_kept_rows(spark):
 def test_filter_knows_every_repeat(spark):
     digests = [normal_digest(f"text {i % 900}") for i in range(1000)]
     table = spark.createDataFrame([(bytearray(d),) for d in digests], "sha binary").repartition(5)
-    bits, cells = repeat_filter(table, len(digests))
-    flags = maybe_repeated(np.frombuffer(b"".join(digests), np.uint8), bits, cells)
+    bits, cells = bloom_filter(table, len(digests), least=2)
+    flags = may_hold(np.frombuffer(b"".join(digests), np.uint8), bits, cells)
     assert flags[:100].all() and flags[900:].all() and not flags.all()
+    bits, cells = bloom_filter(table, len(digests))
+    others = np.frombuffer(b"".join(normal_digest(f"other {i}") for i in range(1000)), np.uint8)
+    assert may_hold(np.frombuffer(b"".join(digests), np.uint8), bits, cells).all() and may_hold(others, bits, cells).mean() < 0.2
 
 
 def test_null_ids_form_a_group(spark):
