@@ -1,15 +1,19 @@
 """License scans by conditional compression.
 
-Lines with words that licenses use are gathered into candidate blocks. Each block is compressed with
-zstandard on its own and once with each template as a raw-content dictionary: the closer the wording,
-the more the block shrinks. The templates with the largest reductions are then held against the
-block word by word; a template is reported only if it confirms, with what is missing and what is
-extra. One row for each document comes back, so nothing is lost where there is no license.
+Where a text has words that licenses use, each template is looked for in windows of about its own
+length around them, however long the lines and blocks are. A window that holds too few of the
+template's words can't be confirmed and is ruled out by their counts. What is left is compressed with
+zstandard on its own and with each template as a raw-content dictionary: the closer the wording, the
+more it shrinks. In that order every template left is held against the words, down to the last; it is
+reported only if it confirms, with what is missing and what is extra. One row for each document comes
+back, so nothing is lost where there is no license.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -19,9 +23,8 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import field, map_arrow
 
-#: Least share by which a template must shrink a block, templates that are held against its words,
-#: most words missing or extra as a share of the template's.
-LEAST_REDUCTION, CONFIRMED, MOST_DIFFERENT = 0.15, 3, 0.15
+#: Most words missing or extra as a share of the template's.
+MOST_DIFFERENT = 0.15
 #: Cue lines at most so many characters apart form one block.
 GAP = 400
 
@@ -106,52 +109,116 @@ def differences(template: list[str], words: list[str]) -> tuple[int, int, int, i
     return len(template) - matched, end - start - matched, start, end
 
 
-def ranked_templates(block: str) -> list[tuple[float, str]]:
-    """Reduction by each template, the largest first (ties by name)."""
+def ranked_templates(block: str, names=None) -> list[tuple[float, str]]:
+    """Reduction by each template (of names, if given), the largest first (ties by name)."""
     plain, known, _ = _compressors()
     raw = " ".join(words_of(block)).encode()
     alone = len(plain.compress(raw))
-    return sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in known.items()), key=lambda x: (-x[0], x[1]))
+    return sorted(((1 - len(known[name].compress(raw)) / alone, name) for name in (known if names is None else names)), key=lambda x: (-x[0], x[1]))
 
 
-def _best_in(text: str, start: int, end: int, least: int, most: int) -> dict | None:
-    """The license confirmed in a block, looked for up to GAP characters beyond it, from least to most."""
-    _, _, templates = _compressors()
-    around = max(least, start - GAP)
-    places = [(m.start() + around, m.end() + around) for m in _WORD.finditer(_lower(text[around : min(most, end + GAP)]))]
-    words = [_lower(text[s:e]) for s, e in places]
-    best = None
-    for reduction, name in ranked_templates(text[start:end])[:CONFIRMED]:
-        if reduction < LEAST_REDUCTION:
+def _runs(own: list[str], words: list[str], cues: list[int], low: int, high: int) -> list[tuple[int, list[int]]]:
+    """Runs of windows around cues, each by its first start, that may hold the template: how many of its words each window has.
+
+    A window is as long as the template with all extra words allowed; one with fewer of its words
+    than may be missing can't be confirmed. Only words from low to high count.
+    """
+    slack = int(MOST_DIFFERENT * len(own))
+    long, least = len(own) + slack, len(own) - slack
+    counts = Counter(own)
+    out: list[tuple[int, list[int]]] = []
+    k = bisect_left(cues, low)
+    while k < len(cues) and cues[k] < high:
+        # Starts of all windows that hold a cue, as long as those of one cue meet those of the next.
+        first, last = max(low, cues[k] - long + 1), cues[k]
+        k += 1
+        while k < len(cues) and cues[k] < high and cues[k] - long <= last:
+            last = cues[k]
+            k += 1
+        stop = min(high, last + long)
+        if sum((counts & Counter(w for w in words[first:stop] if w in counts)).values()) < least:
             continue
-        own = templates[name]
-        missing, extra, first, last = differences(own, words)
-        if missing + extra <= MOST_DIFFERENT * len(own):
-            # The fewest differences win, then the longest wording: a full text over its notice.
-            rank = (missing + extra) / len(own), -len(own), -reduction, name
-            if best is None or rank < best[0]:
-                best = rank, {"start": places[first][0], "end": places[last - 1][1], "license": name, "reduction": round(reduction, 6), "missing": missing, "extra": extra}
-    return best[1] if best else None
+        need, held, before = dict(counts), 0, None
+        for i in range(first, stop):
+            if words[i] in need:
+                held += need[words[i]] > 0
+                need[words[i]] -= 1
+            start = i - long + 1
+            if start > first and words[start - 1] in need:
+                need[words[start - 1]] += 1
+                held -= need[words[start - 1]] > 0
+            if held >= least and (start >= first or i == stop - 1):
+                start = max(start, first)
+                if before is None or start > before + 1:
+                    out.append((start, []))
+                out[-1][1].append(held)
+                before = start
+    return out
+
+
+def _confirmed(own: list[str], words: list[str], start: int, end: int) -> tuple[int, int, int, int] | None:
+    missing, extra, first, last = differences(own, words[start:end])
+    return (missing, extra, start + first, start + last) if missing + extra <= MOST_DIFFERENT * len(own) else None
+
+
+def _found_in(words: list[str], cues: list[int], low: int, high: int) -> list[tuple]:
+    """Confirmed wordings among words from low to high, which may overlap: rank, first word, end, what is reported."""
+    _, _, templates = _compressors()
+    spans: dict[tuple[int, int], list] = {}
+    for name, own in templates.items():
+        long = len(own) + int(MOST_DIFFERENT * len(own))
+        for start, held in _runs(own, words, cues, low, high):
+            # A long run is gone through in pieces, so that a near match is not hidden by a far one.
+            for i in range(0, len(held), long):
+                piece = held[i : i + long]
+                spans.setdefault((start + i, min(high, start + i + len(piece) - 1 + long)), []).append((name, piece))
+    out = []
+    for (start, end), proposed in spans.items():
+        pieces = dict(proposed)
+        for reduction, name in ranked_templates(" ".join(words[start:end]), pieces):
+            own, piece = templates[name], pieces[name]
+            long = len(own) + int(MOST_DIFFERENT * len(own))
+            got = _confirmed(own, words, start, end)
+            for i in sorted(range(len(piece)), key=lambda i: -piece[i]) if not got else ():
+                got = _confirmed(own, words, start + i, min(high, start + i + long))
+                if got:
+                    break
+            if got:
+                missing, extra, first, last = got
+                # The fewest differences win, then the longest wording: a full text over its notice.
+                rank = (missing + extra) / len(own), -len(own), -reduction, name, first
+                out.append((rank, first, last, {"license": name, "reduction": round(reduction, 6), "missing": missing, "extra": extra}))
+    return sorted(out, key=lambda x: x[0])
 
 
 def scan_text(text: str | None) -> list[dict]:
     """Confirmed licenses: span of the wording (code points), name, reduction, words missing and extra.
 
-    What stands before and after a license in its block is searched again, so a block may hold several.
+    What stands before, between and after the licenses found is searched again until no more are
+    found, so a text may hold several, side by side.
     """
-    out: list[dict] = []
     text = text or ""
-    blocks = [(s, e, 0, len(text)) for s, e in candidate_blocks(text)]
-    while blocks:
-        start, end, least, most = blocks.pop()
-        found = _best_in(text, start, end, least, most)
-        if not found:
-            continue
-        if not any(f["start"] < found["end"] and found["start"] < f["end"] for f in out):
-            out.append(found)
-        for s, e, low, high in ((start, min(end, found["start"]), least, found["start"]), (max(start, found["end"]), end, found["end"], most)):
-            if s < e and _CUE.search(_lower(text[s:e])):
-                blocks.append((s, e, low, high))
+    low = _lower(text)
+    if not any(p in low for p in _CUE_PARTS):
+        return []
+    places = [m.span() for m in _WORD.finditer(low)]
+    words = [low[s:e] for s, e in places]
+    ends = [e for _, e in places]
+    cues = sorted({i for m in _CUE.finditer(low) if (i := bisect_left(ends, m.start() + 1)) < len(words)})
+    out: list[dict] = []
+    open_ranges = [(0, len(words))]
+    while open_ranges:
+        begin, stop = open_ranges.pop()
+        chosen: list[tuple[int, int]] = []
+        for _, first, last, found in _found_in(words, cues, begin, stop):
+            k = bisect_left(chosen, (first, 0))
+            if (k and chosen[k - 1][1] > first) or (k < len(chosen) and chosen[k][0] < last):
+                continue
+            chosen.insert(k, (first, last))
+            out.append({"start": places[first][0], "end": places[last - 1][1], **found})
+        if chosen:
+            borders = [begin, *(x for span in chosen for x in span), stop]
+            open_ranges += [(s, e) for s, e in zip(borders[::2], borders[1::2], strict=True) if s < e]
     return sorted(out, key=lambda f: f["start"])
 
 

@@ -55,3 +55,29 @@ def test_rows(spark):
         assert all(r.found == [] and r.license is None for r in got)
     rows = [(1, "a\nReleased under the MIT License.\nb", "en", "s", 1), (1, "a\nReleased under the MIT License.\nb", "en", "s", 1)]
     assert [r.license for r in scan_licences(frame(spark, rows)).collect()] == ["MIT-notice"] * 2
+
+
+def test_wordings_inside_long_lines_and_blocks():
+    prose = [words(k, 400, 500) for k in range(4)]
+    for name, text in TEMPLATES.items():
+        for before, after in ((prose[0][:400], prose[1][:400]), (prose[0], prose[1])):
+            whole = before + " " + text + " " + after
+            (found,) = scan_text(whole)
+            assert (found["license"], found["missing"], found["extra"]) == (name, 0, 0)
+            assert words_of(whole[found["start"] : found["end"]]) == words_of(text)
+        # Lines with cues 300 characters apart are one block, with all the prose between them.
+        between = "\n" + prose[2][:300] + "\n"
+        whole = "All copyright lies with us." + between + text + between + "No warranty at all."
+        assert [f["license"] for f in scan_text(whole)] == [name]
+    # Cue words throughout, and more templates alike than a short ranking holds.
+    cued = "\n".join(words(k, 30) + " license " + words(k + 50, 30) for k in range(40))
+    notices = [n for n in TEMPLATES if n.endswith("notice")]
+    whole = cued + "\n" + ("\n" + cued + "\n").join(TEMPLATES[n] for n in notices) + "\n" + cued
+    assert [f["license"] for f in scan_text(whole)] == notices
+
+
+def test_a_near_wording_is_not_hidden_by_another():
+    altered = TEMPLATES["ISC"].split()
+    altered[5::18] = ["other"] * len(altered[5::18])
+    whole = " ".join(altered) + " " + TEMPLATES["MIT"] + " " + TEMPLATES["ISC"]
+    assert [f["license"] for f in scan_text(whole)] == ["ISC", "MIT", "ISC"]
