@@ -80,3 +80,23 @@ def test_rows(spark):
             listed = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{s}:{e}" for s, k, e in base)
             want.append((str(i), *(sum(k == j for _, k, _ in base) for j in range(4)), hashlib.sha256(listed.encode()).hexdigest()))
         assert sorted((str(r[0]), *r[1:6]) for r in got) == sorted(want)
+
+
+def test_accounts_before_capitals_and_numbers():
+    account = "GB82 WEST 1234 5698 7654 32"
+
+    def accounts(text):
+        return [text[s:e] for s, k, e, _ in spans_of(text) if k == 4]
+
+    for after in (" EUR 500 now", " BIC WESTGB2L", " 2024", " 1 000", " DE", "", ".", "\n77"):
+        assert accounts("pay to " + account + after) == [account]
+    # Right after one another, after something that only looks like a start, and written without blanks.
+    assert accounts(f"pay {account} {account} DE89 3704 0044 0532 0130 00 EUR 5") == [account, account, "DE89 3704 0044 0532 0130 00"]
+    assert accounts(f"ref AB12 {account} 7") == [account]
+    assert accounts("to NO9386011117947 AND GB82WEST12345698765432 EUR") == ["NO9386011117947", "GB82WEST12345698765432"]
+    # A country that is not listed: the longest reading that passes.
+    body = "1234567890123"
+    unlisted = next(f"ZZ{n:02} {body}" for n in range(2, 99) if mod97(f"ZZ{n:02} {body}"))
+    assert accounts(f"pay {unlisted} EUR, please") == [unlisted]
+    # The number must not go on, and a listed country's must be whole.
+    assert accounts("pay GB82WEST12345698765432EUR") == [] and accounts("pay GB82 WEST 1234 5698 7654 please") == []
