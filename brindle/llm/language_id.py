@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import field, map_arrow, session_of
 
-#: n-grams in a profile; n-grams of a document that are compared; labelled rows that profiles are learned from, about.
+#: n-grams in a profile; n-grams of a document that are compared; labelled rows of a language that its profile is learned from, about.
 PROFILE, TOP, TRAIN_ROWS = 300, 300, 20_000
 _BITS = 21  # of a code point
 _FRAME = np.uint64(1)  # stands for the border of a word; no letter has this code point
@@ -61,13 +61,15 @@ def held_out_of(doc_id) -> bool:
 def learn_profiles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> dict[str, list[int]]:
     """The profile of each language, from rows with a language that are not held out.
 
-    About train_rows of those rows are read, chosen by a hash of the id, whatever the size of df; all
-    if there are fewer. The profiles (PROFILE n-grams for each language) come to the driver.
+    Of each language about train_rows of those rows are read, chosen by a hash of id and text, whatever
+    the size of df and the share of the language in it; all if there are fewer. The profiles (PROFILE
+    n-grams for each language) come to the driver.
     """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 0))
-    rows = usable.count()
-    if rows > train_rows:
-        usable = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * train_rows / rows) + 1)
+    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > train_rows)
+    share = F.coalesce(F.lit(float(train_rows)) / F.col("rows"), F.lit(1.0))
+    chosen = rows.join(F.broadcast(sizes), "lang", "left").where(F.pmod(F.col("hash"), F.lit(1_000_000)) < F.floor(share * 1_000_000) + 1)
 
     def count(batches):
         held: dict[str, list] = {}
@@ -82,7 +84,7 @@ def learn_profiles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = len(grams[i : i + 10_000])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(grams[i : i + n].astype(np.int64)), pa.array(counts[i : i + n])], names=["lang", "gram", "n"])
 
-    grams = map_arrow(usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), count, "lang string, gram long, n long")
+    grams = map_arrow(chosen.select("lang", "text"), count, "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     top = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
     out: dict[str, list[int]] = {}

@@ -57,3 +57,12 @@ def test_awkward_rows(spark):
 def test_ties_go_to_the_first_language(spark):
     profiles = {"b": [1, 2, 3], "a": [1, 2, 3]}
     assert {r.lang_pred for r in predict_language(frame(spark, [(1, "hello", "x", "s", 1)]), profiles).collect()} == {"a"}
+
+
+def test_rare_languages_are_learned_whatever_the_size(spark):
+    rows = [(i, f"common words of text {i}", "en", "s", 1) for i in range(4000)]
+    rare = [(9000 + i, "zyx wvu zyx " + "q" * (i % 3 + 1), "zz", "s", 1) for i in range(12)]
+    alone = learn_profiles(frame(spark, rare))["zz"]
+    got = learn_profiles(frame(spark, rows + rare), train_rows=40)
+    assert set(got) == {"en", "zz"} and got["zz"] == alone
+    assert {r.lang_pred for r in predict_language(frame(spark, rare), got).collect()} == {"zz"}
