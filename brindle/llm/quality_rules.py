@@ -31,19 +31,47 @@ BANDS = {
     "es": (1.35, 7.0, 0.05, 0.45, 0.16),
     "latin": (1.2, 8.0, 0.10, 0.40, 0.16),
     "cyrillic": (1.1, 8.0, 0.10, 0.40, 0.16),
+    "greek": (0.2, 8.0, 0.30, 0.30, 0.30),
+    "armenian": (0.2, 8.0, 0.50, 0.30, 0.30),
+    "hebrew": (0.2, 8.0, 0.30, 0.30, 0.30),
+    "arabic": (0.2, 8.0, 0.30, 0.30, 0.30),
+    "han": (0.2, 8.0, 0.80, 0.30, 0.30),
+    "hangul": (0.2, 8.0, 0.70, 0.30, 0.30),
+    "devanagari": (0.2, 8.0, 0.50, 0.30, 0.30),
+    "bengali": (0.2, 8.0, 0.50, 0.30, 0.30),
+    "tamil": (0.2, 8.0, 0.50, 0.30, 0.30),
+    "thai": (0.2, 8.0, 0.50, 0.30, 0.30),
+    "mixed": (0.2, 8.0, 0.60, 0.30, 0.30),
+    # Scripts of which the vocabulary may know no letter: all bytes says nothing of them.
     "other": (0.2, 8.0, 1.00, 0.30, 0.30),
 }
+#: Scripts besides latin and cyrillic by their letters' first bytes, and, after 0xE0, by the second (kana go with han).
+_FIRST = {"greek": (0xCE, 0xD0), "armenian": (0xD4, 0xD7), "hebrew": (0xD7, 0xD8), "arabic": (0xD8, 0xDC), "han": (0xE3, 0xEA), "hangul": (0xEB, 0xEE)}
+_SECOND = {"devanagari": (0xA4, 0xA6), "bengali": (0xA6, 0xA8), "tamil": (0xAE, 0xB0), "thai": (0xB8, 0xBA)}
+_OTHERS = ("other", *_FIRST, *_SECOND)
+
+
+def _other_script(data: np.ndarray, kind: np.ndarray) -> str:
+    """The script that half of the letters that are neither latin nor cyrillic have at least; mixed if none has."""
+    at = np.flatnonzero(kind == 3)
+    first, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    table, after = np.zeros((2, 256), np.int64)
+    for k, name in enumerate(_OTHERS):
+        table[slice(*_FIRST.get(name, (0, 0)))] = k
+        after[slice(*_SECOND.get(name, (0, 0)))] = k
+    n = np.bincount(np.where(first == 0xE0, after[second], table[first]), minlength=len(_OTHERS))
+    return _OTHERS[n.argmax()] if 2 * n.max() >= len(at) else "mixed"
 
 
 def script_of(data: np.ndarray, at: np.ndarray) -> list[str]:
-    """latin, cyrillic or other for each text, by which has most of the first bytes of letters."""
+    """The script of each text: latin, cyrillic or another, by which has most of the first bytes of letters."""
     kinds = np.zeros(256, np.int64)
     kinds[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = 1
     kinds[[*range(0xD0, 0xD4)]] = 2
     kinds[[*range(0xCA, 0xD0), *range(0xD4, 0xF5)]] = 3
     kind = kinds[data]
     n = np.stack([_per_text(kind == k, at) for k in (1, 2, 3)])
-    return [("latin", "cyrillic", "other")[k] for k in n.argmax(0)]
+    return [("latin", "cyrillic")[k] if k < 2 else _other_script(data[s:e], kind[s:e]) for k, s, e in zip(n.argmax(0), at[:-1], at[1:], strict=True)]
 
 
 def _per_text(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -158,7 +186,7 @@ def quality_rules(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
             measures = fertility(data, at, spans, vocabulary, counts["word_chars"])
             langs = b.column(lang_col).to_pylist() if lang_col else [None] * b.num_rows
-            chosen = np.array([bands[x if x in bands else s] for x, s in zip(langs, script_of(data, at), strict=True)], float).reshape(-1, 5)
+            chosen = np.array([bands[x] if x in bands else bands.get(s, bands["other"]) for x, s in zip(langs, script_of(data, at), strict=True)], float).reshape(-1, 5)
             kept = ~failed & verdict(measures, chosen)
             if carry:
                 yield b.filter(pa.array(kept))

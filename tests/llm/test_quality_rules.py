@@ -3,13 +3,14 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brindle.llm.common import documents, vocabulary
-from brindle.llm.quality_rules import COUNTS, base_counts, quality_rules
-from brindle.llm.spans import texts_of
+from brindle.llm.quality_rules import BANDS, COUNTS, base_counts, fertility, quality_rules, script_of, verdict
+from brindle.llm.spans import texts_of, word_spans
 from tests.conftest import DATA
 from tests.llm.cases import frame, tables
 
@@ -62,3 +63,35 @@ def test_labels(spark):
     got = quality_rules(documents(spark, sf), VOCABULARY).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
     good, bad = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
     assert all(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_scrambled_text_of_other_scripts_fails(spark):
+    import random
+
+    r = random.Random(5)
+    blocks = {"han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "arabic": (0x600, 0x6FF), "hebrew": (0x5C0, 0x5FF), "greek": (0x370, 0x3FF), "armenian": (0x530, 0x58F), "devanagari": (0x900, 0x97F), "bengali": (0x980, 0x9FF), "tamil": (0xB80, 0xBFF), "thai": (0xE00, 0xE5B), "mixed": (0x80, 0x7FF)}
+    texts = [" ".join("".join(chr(r.randint(*b)) for _ in range(6)) for _ in range(150)) for b in blocks.values()]
+    assert script_of(*texts_of(pa.array(texts))) == list(blocks)
+    got = quality_rules(frame(spark, [(i, x, None, "a", 1) for i, x in enumerate(texts)]), VOCABULARY).collect()
+    assert not any(x.base_failed or x.kept for x in got)
+
+
+def test_prose_of_other_scripts_stays_within_its_bands():
+    prose = {
+        "han": ["春天的早晨,老城的钟声刚刚响起,她提着满满一篮面包走上山坡,心里想着家里是否有人还记得今天是什么日子。街道两旁的商店陆续开门。", "春天的早晨,老城的鐘聲剛剛響起,她提著滿滿一籃麵包走上山坡,心裡想著家裡是否有人還記得今天是什麼日子。臺灣的夜市非常熱鬧,遊客絡繹不絕。", "春の朝、古い町の鐘が鳴り始めたころ、彼女はパンでいっぱいの籠を持って坂を上ってきた。家の誰かが今日が何の日か覚えているだろうか。"],
+        "hangul": ["봄날 아침 오래된 마을의 종이 막 울리기 시작했을 때 그녀는 빵이 가득한 바구니를 들고 언덕을 올라왔다. 집에 있는 누군가가 오늘이 무슨 날인지 기억할지 궁금했다."],
+        "arabic": ["في صباح ربيعي بارد بدأت أجراس المدينة القديمة تدق عندما صعدت التل وسلتها مليئة بالخبز وهي تتساءل هل يتذكر أحد في البيت أي يوم هو هذا اليوم."],
+        "hebrew": ["בבוקר אביבי קר החלו פעמוני העיר העתיקה לצלצל כאשר היא עלתה במעלה הגבעה עם סל מלא בלחם ותהתה אם מישהו בבית יזכור איזה יום היום."],
+        "greek": ["Ένα κρύο ανοιξιάτικο πρωινό οι καμπάνες της παλιάς πόλης μόλις άρχισαν να χτυπούν όταν εκείνη ανέβηκε τον λόφο με το καλάθι της γεμάτο ψωμί."],
+        "armenian": ["Գարնանային ցուրտ առավոտյան հին քաղաքի զանգերը նոր էին սկսել հնչել, երբ նա հացով լի զամբյուղով բարձրացավ բլուրը։"],
+        "devanagari": ["वसंत की एक ठंडी सुबह पुराने शहर की घंटियाँ बजने लगी थीं जब वह रोटियों से भरी टोकरी लेकर पहाड़ी पर चढ़ी और सोच रही थी कि क्या घर में किसी को याद होगा।"],
+        "bengali": ["বসন্তের এক ঠান্ডা সকালে পুরানো শহরের ঘণ্টা বাজতে শুরু করেছিল যখন সে রুটি ভরা ঝুড়ি নিয়ে পাহাড়ে উঠে এল।"],
+        "tamil": ["வசந்த கால காலையில் பழைய நகரத்தின் மணிகள் ஒலிக்கத் தொடங்கின, அவள் ரொட்டி நிறைந்த கூடையுடன் மலையின் மேல் ஏறி வந்தாள்."],
+        "thai": ["ในเช้าวันหนึ่งของฤดูใบไม้ผลิ ระฆังของเมืองเก่าเพิ่งเริ่มดังขึ้น เมื่อเธอเดินขึ้นเนินเขาพร้อมตะกร้าที่เต็มไปด้วยขนมปัง"],
+    }
+    names, texts = zip(*((k, x) for k, xs in prose.items() for x in xs), strict=True)
+    data, at = texts_of(pa.array(texts))
+    spans = word_spans(data, at)
+    measures = fertility(data, at, spans, VOCABULARY, base_counts(data, at, spans)["word_chars"])
+    assert script_of(data, at) == list(names)
+    assert verdict(measures, np.array([BANDS[k] for k in names])).all()
