@@ -2,8 +2,8 @@
 
 The words of each source, its documents in a fixed pseudorandom order, form one stream that is cut
 into blocks of block_words words. The mix is a set of slots; each slot takes one block. How many slots
-a source fills follows from its target; over the output shards the slots of a source fall by hash, so
-the counts of a shard are a multinomial draw given the totals. The k-th slot of a source takes the
+a source fills is a fixed quota that follows from its target, not a draw. Slots have a shard by hash, but
+the mix is not divided by it, so it decides nothing in the result (see the README). The k-th slot of a source takes the
 block at the k-th place of a pseudorandom permutation of the block indices, a new one for each pass
 over the source, and blocks are joined with slots by index. No block is taken more often than passes
 are begun, so no document more than ``most`` times.
