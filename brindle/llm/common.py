@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,48 +10,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a batch that goes to Python at most; with it, memory follows the longest texts, not the partition.
-BATCH_ROWS = 512
+#: Bytes of a batch that an operator works on at most (a longer row is a batch of its own), and of one that Spark sends to Python.
+BATCH_BYTES, SENT_BYTES = 1 << 21, 1 << 22
 
 
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with batches to Python of SENT_BYTES at most. For applications: operators leave settings alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > SENT_BYTES:
+        spark.conf.set(key, str(SENT_BYTES))
+    return spark
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into pieces of BATCH_BYTES or one row; no bytes are copied."""
+    for b in batches:
+        rows = b.num_rows if b.nbytes <= BATCH_BYTES else max(1, b.num_rows * BATCH_BYTES // b.nbytes)
+        for i in range(0, b.num_rows, rows) if b.num_rows else ():
+            part = b.slice(i, rows)
+            if part.nbytes > 2 * BATCH_BYTES and part.num_rows > 1:  # long texts side by side
+                yield from in_pieces([part])
+            else:
+                yield part
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows (a setting of the session, lowered if it is higher)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = session_of(df).conf
-    if int(conf.get(key, "10000")) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over pieces of bounded size: memory follows the longest texts, not the partition. No piece is empty."""
+    return df.mapInArrow(lambda batches: fn(in_pieces(batches)), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of one's own only where that is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = f"file://{tempfile.gettempdir()}/brindle-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset, the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's own folder within the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/brindle/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, its lineage cut there.
 
-    The files stay for the life of the shared folder; ``clear_stored`` removes a session's.
+    ``forget`` deletes the files of one, ``clear_stored`` those of the application.
     """
     spark = session_of(df)
-    path = f"{shared_dir(spark).rstrip('/')}/brindle/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing will read again."""
+    for t in tables:
+        _delete(session_of(t), t.stored_at)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Deletes what ``stored`` has written in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/brindle/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_dir(spark))
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -71,7 +97,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str, total: int
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

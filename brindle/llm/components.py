@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import join_hot, stored
+from brindle.llm.common import forget, join_hot, stored
 
 
 def _normal(edges: DataFrame) -> DataFrame:
@@ -33,4 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
         weights = stars.groupBy("b").agg(F.count(F.lit(1)).alias("weight"))
         steps = below.select(F.col("a").alias("b"), "m").join(weights, "b")
         moved = join_hot(stars, steps, "b", "weight", stars.count(), how="left")
-        now = stored(_normal(moved.select("a", F.coalesce("m", "b").alias("b"))), "links")
+        now, old = stored(_normal(moved.select("a", F.coalesce("m", "b").alias("b"))), "links"), now
+        forget(old, stars)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import field, map_arrow, session_of, shared_dir, stored
+from brindle.llm.common import field, map_arrow, own_dir, session_of, stored
 from brindle.llm.spans import texts_of
 from brindle.llm.tokens import unit_encoder
 
@@ -245,6 +245,6 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: b
 def ids_round_trip(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``write_ids`` to path (a new one in the shared folder if none is given), then ``read_ids``."""
     spark = session_of(df)
-    path = path or f"{shared_dir(spark).rstrip('/')}/brindle/{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex[:12]}"
+    path = path or f"{own_dir(spark)}/ids-{uuid.uuid4().hex[:12]}"
     write_ids(df, path, tokenizer, end_id, id_col, text_col)
     return read_ids(spark, path, id_col, with_ids)

@@ -1,22 +1,28 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles, with signature trees.
 
-1. Each text becomes a set of 64-bit shingle hashes. Texts with equal sets form a class; a class is
-   handled once, through one of its texts.
-2. Classes are dealt into blocks: a class lies in the block of each of its KEYS smallest shingle
-   hashes. Two sets with a similarity of 3/4 have none of these in common with a probability below
-   0.25 ** KEYS (4e-15; never, if both have no more than KEYS shingles). Of blocks with the same
-   members one is kept.
-3. In each block, a signature tree over the classes' bitmaps is traversed against itself; classes
-   that the bitmaps can't keep apart are chained together. The chains' components are clusters.
-   A block with more than BLOCK_MOST classes isn't traversed: all its members go to one cluster.
+1. Each text becomes a set of 64-bit shingle hashes. Shingles that many texts share (HOT_LEAST texts
+   or more of a sample of one in SAMPLE, at most HOT_MOST of them) are put last, all others in order of their hash.
+2. A set's keys are its first shingles in that order: enough that two sets with a similarity of 3/4
+   have none in common with a probability below 4e-15 (KEYS for a set without common shingles), or so
+   many that they never have none. Texts that share no more than a common passage thus meet nowhere.
+   Texts with equal sets form a class; a class is handled once, through one of its texts.
+3. Classes with a key in common form a block; of blocks with the same members one is kept. A block
+   beyond BLOCK_BYTES is dealt by size, each class with those whose size the similarity allows.
+   In each block, a signature tree over the classes' bitmaps is traversed against itself; classes
+   that the bitmaps can't keep apart are chained together. The chains' components are clusters. Of a block
+   that is too large even so all members go to one cluster: its trees are built in step 4, chunk by chunk.
 4. Each cluster is settled with whole sets: a signature tree proposes pairs, exact overlaps decide.
    Clusters beyond CHUNK_TOKENS are cut into chunks that are settled each on its own; then one class
    of each group found is compared with those of other chunks; and at last every class outside the
    cluster's largest group is compared with all classes of other groups, chunk by chunk. What is
    left out by this are pairs inside one group, which change nothing.
 
-No task sees more than a block of BLOCK_MOST bitmaps or some chunks of CHUNK_TOKENS shingles, and no
-pair is left unseen unless its two classes are already known to belong together.
+No task sees more than a block of BLOCK_BYTES or some chunks of CHUNK_TOKENS shingles, and no pair is
+left unseen unless its two classes are already known to belong together. What the driver and the
+broadcasts hold are the HOT_MOST common shingles (8 bytes each), whatever the input; with none of them the
+result is the same, at more cost. The last step's cost grows with the classes outside a cluster's
+largest group times the cluster: little where a cluster is a family of copies, much where ever more texts
+are alike to more than about a half and less than three quarters, all with each other.
 """
 
 from __future__ import annotations
@@ -31,13 +37,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.bloom import digest_of, rows_that_may_match
-from brindle.llm.common import fresh_prefix, join_hot, map_arrow, stored
+from brindle.llm.common import forget, fresh_prefix, join_hot, map_arrow, stored
 from brindle.llm.components import components
 from brindle.llm.signature_tree import Groups, bitmap, similar_groups, width_of
 from brindle.llm.spans import FOLDED, span_hashes, texts_of, window_hashes, word_spans
 
-SHINGLE, KEYS, BLOCK_MOST, CHUNK_TOKENS = 5, 24, 8192, 1 << 20
+SHINGLE, KEYS, BLOCK_BYTES, CHUNK_TOKENS = 5, 24, 1 << 22, 1 << 20
 NUM, DEN = 3, 4  # a similarity of 0.75
+#: One text in SAMPLE is counted to find common shingles; how many of these must have one; how many shingles are put last at most.
+SAMPLE, HOT_LEAST, HOT_MOST = 16, 5, 1 << 20
+#: Bytes of a class in a block besides its bitmap, about; ratio of sizes that share a band (a little over 4/3).
+_ROW_BYTES, _BAND = 200, 1.34
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -62,14 +72,74 @@ def _class_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _count_shingles(batches):
+    """Shingles and in how many texts each is, summed over about a million shingles at a time."""
+    held, size = [], 0
+
+    def summed():
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        for i in range(0, len(token), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(token[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["token", "n"])
+
+    for b in batches:
+        for s in shingle_sets(*texts_of(b.column("text"))):
+            held.append(s)
+            size += len(s)
+            if size > 1 << 20:
+                yield from summed()
+                held, size = [], 0
+    if held:
+        yield from summed()
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Ascending hashes of the HOT_MOST shingles at most that the most texts of a sample have, from HOT_LEAST texts on."""
+    drawn = docs.where((F.pmod("salt", F.lit(SAMPLE)) == 0) & F.col("text").isNotNull()).groupBy("salt").agg(F.first("text").alias("text"))
+    counted = map_arrow(drawn.select("text"), _count_shingles, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = stored(counted.where(F.col("n") >= HOT_LEAST), "common")
+    least, total = HOT_LEAST, 0
+    # Different counts are few: their histogram grows with the root of the shingles at most.
+    for r in counted.groupBy("n").count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if total > HOT_MOST:
+            least = r.n + 1
+            break
+    hot = counted.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy()
+    forget(counted)
+    return np.sort(hot.astype(np.int64).view(np.uint64))
+
+
+def key_count(n: int, hot: int) -> int:
+    """How many keys a set of n shingles needs, of which so many are common.
+
+    Of what two similar sets have besides common shingles, a share of (3/4 - hot / n) / (1 - hot / n)
+    is shared at least, and KEYS keys suffice where that is 3/4. With n - ceil(3/4 n) + 1 keys two
+    similar sets share one in any case.
+    """
+    every = n - -(-NUM * n // DEN) + 1
+    odds = DEN * (n - hot) / n  # one over the share that may be different
+    return every if odds <= 1 else min(every, int(np.ceil(KEYS * np.log(DEN) / np.log(odds) - 1e-9)))
+
+
+def keys_of(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The keys of a set: its first shingles in the common order."""
+    if not len(hot):
+        return tokens[: key_count(len(tokens), 0)]
+    known = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+    rare = tokens[~known]
+    k = key_count(len(tokens), len(tokens) - len(rare))
+    return rare[:k] if k <= len(rare) else np.concatenate([rare, tokens[known][: k - len(rare)]])
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """id, salt, n, class, the smallest hashes, the bitmap; no class for a text without words."""
+    """id, salt, n, class, the keys, the bitmap; no class for a text without words."""
+    spread = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
     schema = T.StructType([docs.schema["id"], T.StructField("salt", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("low", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(*texts_of(b.column("text")))
-            rows = [(len(s), _class_of(s), s[:KEYS].view(np.int64), bitmap(s, width_of(len(s))).tobytes()) if len(s) else (0, None, None, None) for s in sets]
+            rows = [(len(s), _class_of(s), keys_of(s, spread.value).view(np.int64), bitmap(s, width_of(len(s))).tobytes()) if len(s) else (0, None, None, None) for s in sets]
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("salt"), *columns], names=schema.names)
@@ -113,7 +183,7 @@ def _edge_batches(pairs):
 
 def _block_chains(batches):
     def chains():
-        for rows in _rows_by(batches, "token"):
+        for rows in _rows_by(batches, "part"):
             sizes = np.array([r["n"] for r in rows], np.int64)
             near = np.array([r["near"] for r in rows], np.int64)
             groups = similar_groups([np.frombuffer(r["bits"], np.uint64) for r in rows], sizes, near, Groups(len(rows)), None, NUM, DEN)
@@ -122,19 +192,31 @@ def _block_chains(batches):
     yield from _edge_batches(chains())
 
 
-def _chains(classes: DataFrame) -> DataFrame:
-    """Links between classes that may be similar, from the signature trees of all blocks."""
-    keys = classes.select("cls", F.explode("low").alias("token"))
-    sums = keys.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    blocks = sums.where("members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", "members")
-    members = keys.join(blocks, "token")
-    small = members.where(F.col("members") <= BLOCK_MOST).select("token", "cls").join(classes.select("cls", "n", F.col("low")[0].alias("near"), "bits"), "cls")
-    chains = map_arrow(small.repartition("token").sortWithinPartitions("token"), _block_chains, _EDGE)
-    large = members.where(F.col("members") > BLOCK_MOST)
-    heads = large.groupBy("token").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("weight"))
-    # Such blocks hold over BLOCK_MOST of the keys each, so there are few beside the classes.
-    whole = large.select("token", F.col("cls").alias("a")).join(heads.drop("weight"), "token").select("a", "b")
-    return chains.unionByName(whole)
+def _totals():
+    return F.count(F.lit(1)).alias("members"), F.sum(F.col("n") + _ROW_BYTES).alias("bytes")
+
+
+def _chains(classes: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """Links between classes that may be similar, from the signature trees of all blocks; scratch gets what is stored on the way."""
+    keys = classes.select("cls", "n", F.explode("low").alias("token"))
+    sums = keys.groupBy("token").agg(*_totals(), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    blocks = sums.where("members > 1").groupBy("members", "bytes", "x", "y").agg(F.min("token").alias("token")).select("token", "bytes")
+    members = stored(keys.join(blocks, "token").select(F.xxhash64("token").alias("part"), "cls", "n", "bytes"), "members")
+    scratch.append(members)
+    large = members.where(F.col("bytes") > BLOCK_BYTES)
+    whole = None
+    small = members.where(F.col("bytes") <= BLOCK_BYTES).select("part", "cls")
+    if not large.isEmpty():
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_BAND)))
+        dealt = stored(large.select(F.explode(F.array(F.xxhash64("part", band), F.xxhash64("part", band + 1))).alias("part"), "cls", "n"), "dealt")
+        scratch.append(dealt)
+        sums = dealt.groupBy("part").agg(*_totals(), F.min("cls").alias("head"))
+        dealt = dealt.join(sums, "part").where("members > 1")
+        small = small.unionByName(dealt.where(F.col("bytes") <= BLOCK_BYTES).select("part", "cls"))
+        whole = dealt.where(F.col("bytes") > BLOCK_BYTES).select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    full = small.join(classes.select("cls", "n", F.col("low")[0].alias("near"), "bits"), "cls")
+    chains = map_arrow(full.repartition("part").sortWithinPartitions("part"), _block_chains, _EDGE)
+    return chains if whole is None else chains.unionByName(whole)
 
 
 def _verifier(sets: list[np.ndarray]):
@@ -199,32 +281,39 @@ def _part(*columns):
     return F.xxhash64(*columns)
 
 
-def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int) -> DataFrame:
-    """(node, root) for classes that are linked with others."""
-    clusters = stored(components(_chains(classes)), "clusters")
+def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int, scratch: list[DataFrame]) -> DataFrame:
+    """(node, root) for classes that are linked with others; scratch gets what is stored on the way."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(stored(df, name))
+        return scratch[-1]
+
+    of_blocks: list[DataFrame] = []
+    clusters = kept(components(_chains(classes, of_blocks)), "clusters")
+    forget(*of_blocks)
     members = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "n", "rep"), "cls")
-    totals = stored(members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("weight")), "totals")
+    totals = kept(members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("weight")), "totals")
     chunks = totals.select("cluster", "weight", F.ceil(F.col("tokens") / F.lit(chunk_tokens)).cast("long").alias("chunks"))
     members = join_hot(members, chunks, "cluster", "weight", classes.count())
-    members = stored(members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))), "members")
+    members = kept(members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))), "members")
     sets = _sets(docs, members, members.count()).withColumn("label", F.col("cls"))
     if totals.where(F.col("tokens") > chunk_tokens).isEmpty():
         return components(_settled(sets.withColumn("part", _part("cluster", "chunk"))))
-    sets = stored(sets, "sets")
-    links = stored(_settled(sets.withColumn("part", _part("cluster", "chunk"))), "links1")
+    sets = kept(sets, "sets")
+    links = kept(_settled(sets.withColumn("part", _part("cluster", "chunk"))), "links1")
     large = sets.where("chunks > 1")
     # One class of each group found so far, dealt into as few parts as their sizes need.
     inner = components(links)
     heads = large.join(inner.where("node != root").select(F.col("node").alias("cls")), "cls", "left_anti")
-    few = stored(heads.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(chunk_tokens)).cast("long").alias("parts"), F.count(F.lit(1)).alias("weight")), "heads")
+    few = kept(heads.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(chunk_tokens)).cast("long").alias("parts"), F.count(F.lit(1)).alias("weight")), "heads")
     heads = join_hot(heads, few, "cluster", "weight", classes.count()).withColumn("part", _part("cluster", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts"))))
-    links = stored(links.unionByName(_settled(heads)), "links2")
+    links = kept(links.unionByName(_settled(heads)), "links2")
     # Classes outside the cluster's largest group, against all others of the cluster.
     now = components(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
-    large = stored(large.drop("label").join(now, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "large")
+    large = kept(large.drop("label").join(now, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "large")
     counts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     tops = counts.groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("tokens").alias("all"), F.sum("size").alias("weight"), F.max(F.struct("size", "label", "tokens"))["tokens"].alias("inside"))
-    tops = stored(tops.select("cluster", "weight", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("inside")) / F.lit(chunk_tokens)).cast("long").alias("sides")), "tops")
+    tops = kept(tops.select("cluster", "weight", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("inside")) / F.lit(chunk_tokens)).cast("long").alias("sides")), "tops")
     large = join_hot(large, tops, "cluster", "weight", classes.count()).where("sides > 0")
     every = large.withColumn("side", F.explode(F.expr("sequence(0L, sides - 1)")))
     minor = large.where(F.col("label") != F.col("main")).withColumn("side", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("sides"))).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
@@ -238,11 +327,14 @@ def _labelled(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     rows = marks.where(F.col("cls").isNotNull())
     classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.max(F.struct("id", "salt")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("low").alias("low"), F.first("bits").alias("bits"))
     classes = stored(classes, "classes")
-    links = _links(docs, classes, chunk_tokens).where("node != root")
+    scratch: list[DataFrame] = []
+    links = _links(docs, classes, chunk_tokens, scratch).where("node != root")
     rooted = classes.select("cls", "least", "copies").join(links.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight"))
     named = join_hot(rooted, least, "root", "weight", classes.count()).select("cls", "root", "component_id", F.col("copies").alias("weight"))
-    linked = join_hot(rows.select("id", "salt", "n", "cls"), stored(named, "named"), "cls", "weight", marks.count())
+    named = stored(named, "named")
+    forget(classes, *scratch)
+    linked = join_hot(rows.select("id", "salt", "n", "cls"), named, "cls", "weight", marks.count())
     alone = marks.where(F.col("cls").isNull()).select("id", "salt", "n", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component_id"))
     return linked.select("id", "salt", "n", "root", "component_id").unionByName(alone)
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -22,7 +23,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0xD6E8FEB86659FD93
 _CHUNK = 1 << 20
 #: A 64-bit value for each byte; in FOLDED, A-Z have those of a-z.
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _M)
@@ -32,23 +32,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _tables or len(_tables["up"]) < n:
-        size = max(n, _CHUNK + 4096)
-        _tables["up"] = _powers(_BASE, size)
-        _tables["down"] = _powers(pow(_BASE, -1, 1 << 64), size)
-    return _tables["up"], _tables["down"]
-
-
 def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its n + 1 offsets; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,17 +67,30 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
-    """A 64-bit hash of each span (ascending, disjoint), worked off in chunks of about 1 MB."""
+    """A 64-bit hash of each span (ascending, disjoint), worked off in chunks of about 1 MB.
+
+    The sum of a scrambled value for each pair of byte and place in the span. A polynomial modulo
+    2**64 would do with less, but regular texts (such as a Thue-Morse word and its complement) collide in it.
+    """
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
         low, high = int(starts[i]), int(ends[j - 1])
-        up, down = _power_tables(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(values[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _M
+        # The place of a byte counts from the start of its span; between spans it doesn't matter.
+        begin = np.zeros(high - low, np.int64)
+        begin[s] = np.diff(s, prepend=0)
+        place = np.arange(high - low) - np.cumsum(begin)
+        h = values[data[low:high]] + place.view(np.uint64) * _STEP
+        h ^= h >> np.uint64(32)
+        h *= _M
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(h, out=sums[1:])
+        out[i:j] = (sums[e] - sums[s]) + (e - s).astype(np.uint64) * _M
         i = j
     return mix(out)
 

@@ -63,13 +63,48 @@ def test_awkward_rows(spark):
         assert collected(near_duplicates(df)) == brute(rows)
 
 
-@pytest.mark.parametrize("chunk, block", [(1 << 20, 8192), (700, 8192), (100, 8192), (1 << 20, 3), (300, 3)])
+@pytest.mark.parametrize("chunk, block", [(1 << 20, 1 << 22), (700, 1 << 22), (100, 1 << 22), (1 << 20, 3000), (300, 900)])
 def test_families(spark, monkeypatch, chunk, block):
-    monkeypatch.setattr(jaccard, "BLOCK_MOST", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)
     rows = corpus()
     assert collected(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), chunk_tokens=chunk)) == brute(rows)
 
 
+def mosaics():
+    """Texts that are a common passage for the most part, with a few near copies among them."""
+    passage = words(99, 200)
+    rows = [(9000 + i, words(500 + i, 20 + i % 90) + " " + passage, "en", "a", 1) for i in range(300)]
+    return rows + [(9500 + i, rows[i][1] + " and more", "en", "a", 1) for i in range(0, 300, 7)]
+
+
+@pytest.mark.parametrize("sample, block, chunk", [(1, 1 << 22, 1 << 20), (2, 20_000, 1 << 20), (1, 6000, 3000), (10**9, 9000, 20_000)])
+def test_common_shingles_last(spark, monkeypatch, sample, block, chunk):
+    for name, value in (("SAMPLE", sample), ("BLOCK_BYTES", block)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus() + mosaics()
+    assert collected(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), chunk_tokens=chunk)) == brute(rows)
+
+
+def test_keys():
+    assert [jaccard.key_count(n, 0) for n in (1, 4, 5, 100, 20_000)] == [1, 2, 2, 24, 24]
+    assert jaccard.key_count(400, 100) == 31 and jaccard.key_count(400, 300) == jaccard.key_count(400, 400) == 101
+    tokens, hot = np.arange(100, dtype=np.uint64), np.arange(0, 100, 2, dtype=np.uint64)
+    assert jaccard.keys_of(tokens, hot).tolist() == list(range(1, 53, 2))
+    assert jaccard.keys_of(tokens, tokens).tolist() == list(range(26))
+    assert jaccard.keys_of(tokens, hot[:0]).tolist() == list(range(24))
+
+
+def test_bound_on_common_shingles(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, words(7, 30) + f" x{i}" + (" " + words(8, 30) if i % 2 else "")) for i in range(40)], "id long, text string").selectExpr("*", "xxhash64(text) salt")
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    every = jaccard.common_shingles(docs)
+    assert len(every) == 26 * 2 and (np.diff(every.astype(object)) > 0).all()
+    monkeypatch.setattr(jaccard, "HOT_MOST", 30)
+    assert set(jaccard.common_shingles(docs).tolist()) < set(every.tolist()) and len(jaccard.common_shingles(docs)) == 26
+    monkeypatch.setattr(jaccard, "HOT_MOST", 10)
+    assert len(jaccard.common_shingles(docs)) == 0 and len(jaccard.common_shingles(docs.where("false"))) == 0
+
+
 def test_kept_rows(spark):
     for df, rows in tables(spark):
         got = near_duplicate_rows(df)
