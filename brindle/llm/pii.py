@@ -2,8 +2,9 @@
 
 Base kinds (email, ip, card, phone) follow fixed patterns and are always reported. The method adds
 kinds whose patterns alone say little: bank accounts (IBAN, confirmed by mod 97), US social security
-numbers (confirmed by their number ranges), and telephone numbers without a country sign (which need
-a word such as "call" nearby). Each span has a score: the kind's base value, raised by a passed
+numbers (confirmed by their number ranges), telephone numbers without a country sign (which need
+a word such as "call" nearby), and secrets: keys of well-known forms, and values given to a word such as
+"token" (confirmed if they are as irregular as drawn ones). Each span has a score: the kind's base value, raised by a passed
 checksum and by context words within CONTEXT_CHARS before or after it; added spans need THRESHOLD.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 from brindle.llm.common import field, map_arrow
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "tel")
+ADDED_KINDS = ("iban", "ssn", "tel", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 CONTEXT_CHARS, THRESHOLD = 40, 0.6
 
@@ -34,6 +37,12 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _DIGIT = re.compile("[0-9]")
+#: Forms of access keys that their issuers have published, and the head of a private key file.
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)")
+_GIVEN = re.compile(r"""(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|(?:api|access|auth|private|secret)[_ -]?key)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?([a-z0-9+/_=.-]{16,})""")
+_GIVES = re.compile("[:=]")
+#: Bits of a character that a drawn value has at least, on average over its characters.
+SECRET_BITS = 2.8
 #: Characters of an account number by its country (the IBAN registry's lengths), and of any at least.
 IBAN_LENGTHS = {
     c: n
@@ -48,7 +57,7 @@ IBAN_LENGTHS = {
 IBAN_LEAST = 15
 
 #: Base value of each kind, and words nearby that raise or lower it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "ssn": 0.45, "tel": 0.4}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "ssn": 0.45, "tel": 0.4, "secret": 0.45}
 CONTEXT = {
     "email": ("email", "e-mail", "mail", "contact"),
     "ip": ("ip", "address", "host", "server"),
@@ -57,6 +66,7 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
     "tel": ("phone", "call", "tel", "mobile", "fax", "contact"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "credentials"),
 }
 AGAINST = ("version", "isbn", "order", "example", "invoice")
 
@@ -101,6 +111,25 @@ def _ibans(text: str):
         m = _IBAN.search(text, end or m.start() + 1)
 
 
+def drawn(value: str) -> bool:
+    """Whether a value has letters and digits and is as irregular as a random one."""
+    n = Counter(value)
+    bits = -sum(k / len(value) * log2(k / len(value)) for k in n.values())
+    return bits >= SECRET_BITS and any(c.isdigit() for c in n) and any(c.isalpha() for c in n)
+
+
+def _secrets(text: str):
+    """(start, end) of keys of known forms, and of drawn values given to a word for a secret; of two that overlap, the first."""
+    found = [m.span() for m in _KEY.finditer(text)]
+    if _GIVES.search(text):
+        found += [m.span(1) for m in _GIVEN.finditer(text) if drawn(m[1])]
+    over = 0
+    for start, end in sorted(found):
+        if start >= over:
+            yield start, end
+            over = end
+
+
 def _emails(text: str):
     over = 0
     at = text.find("@")
@@ -122,7 +151,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -144,10 +173,11 @@ def _score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """Spans of further kinds that pass their check and the threshold and overlap no base span."""
-    if not _DIGIT.search(text):
+    """Spans of further kinds that pass their check and the threshold; but for secrets, they overlap no base span."""
+    found = [(s, 7, e, True) for s, e in _secrets(text)]
+    if not found and not _DIGIT.search(text):
         return []
-    found = [(s, 4, e, True) for s, e in _ibans(text)]
+    found += [(s, 4, e, True) for s, e in _ibans(text)]
     for m in _SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             found.append((m.start(), 5, m.end(), True))
@@ -160,7 +190,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     for start, kind, end, confirmed in sorted(found):
         k = bisect_left(taken, (end, 0))  # base spans that begin before this one's end
-        if k and reach[k - 1] > start:
+        if kind != 7 and k and reach[k - 1] > start:
             continue
         score = _score(text, KINDS[kind], start, end, confirmed)
         if score >= THRESHOLD:
@@ -185,8 +215,9 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id and found, an array of (kind, start, end, score) in code points.
 
-    A null or empty text has an empty array; a null id is carried along; repeated rows each have a
-    row. Columns besides id and text are not read. An empty table gives an empty result.
+    A null or empty text has an empty array; the whole of a text is searched, however long; a null id is
+    carried along; repeated rows each have a row. Columns besides id and text are not read. An empty
+    table gives an empty result.
     """
     schema = T.StructType([field(df, id_col), T.StructField("found", T.ArrayType(SPAN))])
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -200,16 +231,19 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, the SHA-256 of the base spans, and all spans as text, for each row."""
+    """id, counts of the base kinds, the SHA-256 of the base spans, and all spans as text, for each row of df.
+
+    The spans are those of ``find_pii``, taken in the same pass over the texts. A null or empty text has
+    counts of 0, the digest of nothing and an empty string; the rest is as in ``find_pii``.
+    """
     schema = T.StructType([field(df, id_col), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches):
         for b in batches:
-            found = b.column("found").to_pylist()
-            spans = [[(x["start"], KINDS.index(x["kind"]), x["end"]) for x in row] for row in found]
+            spans = [spans_of(x or "") for x in b.column(text_col).to_pylist()]
             base = [[x for x in row if x[1] < len(BASE_KINDS)] for row in spans]
             columns = [pa.array([sum(x[1] == k for x in row) for row in base], pa.int64()) for k in range(len(BASE_KINDS))]
-            shas = pa.array([hashlib.sha256(_joined(row).encode()).hexdigest() for row in base])
+            shas = pa.array([hashlib.sha256(_joined(row).encode()).hexdigest() for row in base], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(id_col), *columns, shas, pa.array(map(_joined, spans), pa.string())], names=schema.names)
 
-    return map_arrow(find_pii(df, id_col, text_col), run, schema)
+    return map_arrow(df.select(id_col, text_col), run, schema)

@@ -100,3 +100,25 @@ def test_accounts_before_capitals_and_numbers():
     assert accounts(f"pay {unlisted} EUR, please") == [unlisted]
     # The number must not go on, and a listed country's must be whole.
     assert accounts("pay GB82WEST12345698765432EUR") == [] and accounts("pay GB82 WEST 1234 5698 7654 please") == []
+
+
+def test_secrets():
+    def secrets(text):
+        return [text[s:e] for s, k, e, _ in spans_of(text) if k == 7]
+
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'the token = "{value}" of', f"API_KEY: {value}", f"password={value}", f"Secret key : '{value}'"):
+        assert secrets(text) == [value]
+    # A digit run in a secret may pass for a card; both are told.
+    assert kinds('token = "ab4539578763621486cdef0"') == [7, 2]
+    key = "AKIA" + "Q7ZR2M5XK3WTB9DN"
+    assert secrets(f"{key} and {key}.") == [key, key] and secrets(key + "AA") == []
+    assert secrets("-----BEGIN RSA PRIVATE KEY-----") == ["-----BEGIN RSA PRIVATE KEY-----"]
+    for text in ("token = aaaaaaaaaaaaaaaaaaaa1", "the token is somewhat-longer-than-sixteen", "token: somewhat-longer-than-sixteen", f"commit {value}", "token = short1"):
+        assert secrets(text) == []
+
+
+def test_addresses_with_many_zeros():
+    for text in ("0" * 5000 + ".1.1.1", "0" * 5000 + "255.1.1.1"):
+        assert base_spans(text) == [(0, 1, len(text))]
+    assert base_spans("1.1.1." + "0" * 5000 + "256") == [] and base_spans("1." + "9" * 5000 + ".1.1") == []
