@@ -57,43 +57,71 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def _joined(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of data that begin at these places, end to end."""
+    over = np.cumsum(lengths)
+    return data[np.repeat(begin - over + lengths, lengths) + np.arange(over[-1] if len(over) else 0)]
+
+
 class SpanMemory:
-    """Remembers, by their hashes, the ids of byte spans met before; ``limit`` bounds how many.
+    """Remembers the ids of byte spans met before; ``limit`` bounds how many, TEXT_MOST their bytes.
 
-    A subclass has ``ids_of_all(list of bytes) -> list of lists of ids``.
+    Spans are found by their hashes and then compared byte by byte: one that only has the hash of
+    another is encoded anew. A subclass has ``ids_of_all(list of bytes) -> list of lists of ids``.
     """
 
-    def __init__(self, limit: int = 1_500_000):
+    TEXT_MOST = 1 << 25
+
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes of the spans met, ascending
         self.slot = np.zeros(0, np.int64)  # and where in begin and count each is
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.begin, self.count, self.place, self.length = np.zeros((4, 1 << 14), np.int64)
 
-    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of spans end to end and how many each has, from the library."""
         raw = data.tobytes() if len(starts) > 1000 else None
         spans = zip(starts.tolist(), ends.tolist(), strict=True)
         new = self.ids_of_all([raw[s:e] if raw is not None else data[s:e].tobytes() for s, e in spans])
         counts = np.fromiter(map(len, new), np.int64, len(new))
-        total = int(counts.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-        k = len(self.known)
-        if k + len(new) > len(self.begin):
-            more = np.zeros(max(len(self.begin), len(new)), np.int64)
-            self.begin, self.count = np.concatenate([self.begin, more]), np.concatenate([self.count, more])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in new for i in ids), np.uint32, total)
-        self.begin[k : k + len(new)] = self.used + np.cumsum(counts) - counts
-        self.count[k : k + len(new)] = counts
-        self.used += total
-        place = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, place, hashes)
-        self.slot = np.insert(self.slot, place, np.arange(k, k + len(new)))
+        return np.fromiter((i for ids in new for i in ids), np.uint32, int(counts.sum())), counts
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, counts = self._encoded(data, starts, ends)
+        lengths = ends - starts
+        k, n = len(self.known), len(starts)
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        size = int(lengths.sum())
+        self.text = self._room(self.text, self.text_used + size)
+        self.text[self.text_used : self.text_used + size] = _joined(data, starts, lengths)
+        for name, values in (("begin", self.used + np.cumsum(counts) - counts), ("count", counts), ("place", self.text_used + np.cumsum(lengths) - lengths), ("length", lengths)):
+            array = self._room(getattr(self, name), k + n)
+            array[k : k + n] = values
+            setattr(self, name, array)
+        self.used += len(ids)
+        self.text_used += size
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.slot = np.insert(self.slot, at, np.arange(k, k + n))
+
+    def _others(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which spans are not the ones remembered under their hash."""
+        same = self.length[slots] == lengths
+        at = np.flatnonzero(same)
+        differs = _joined(data, starts[at], lengths[at]) != _joined(self.text, self.place[slots[at]], lengths[at])
+        if differs.any():
+            same[np.repeat(at, lengths[at])[differs]] = False
+        return np.flatnonzero(~same)
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the spans laid end to end, and n + 1 offsets."""
@@ -101,7 +129,7 @@ class SpanMemory:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         hashes = span_hashes(data, starts, ends) if hashes is None else hashes
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.text_used > self.TEXT_MOST:
             self._clear()
         place = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
@@ -110,20 +138,28 @@ class SpanMemory:
         if new.any():
             self._learn(data, unique[new], starts[first[new]], ends[first[new]])
         slots = self.slot[np.searchsorted(self.known, unique)][back]
-        counts = self.count[slots]
-        over = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[np.repeat(self.begin[slots] - over[:-1], counts) + np.arange(over[-1])], over
+        flat, begin, counts = self.flat, self.begin[slots], self.count[slots]
+        odd = self._others(data, starts, ends - starts, slots)
+        if len(odd):
+            extra, own = self._encoded(data, starts[odd], ends[odd])
+            begin[odd], counts[odd] = self.used + np.cumsum(own) - own, own
+            flat = np.concatenate([flat[: self.used], extra])
+        return _joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts)])
 
 
 class UnitEncoder(SpanMemory):
-    """``encode(data, at)``: ids (unsigned 32 bits) of the texts laid end to end, and n + 1 offsets."""
+    """``encode(data, at)``: ids (unsigned 32 bits) of the texts laid end to end, and n + 1 offsets.
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    As in the library, the string of a special token of the vocabulary is that token wherever it stands
+    in a text; a text with one goes to the library whole.
+    """
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__(limit)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         #: The sign that a byte-level vocabulary writes for each byte.
@@ -141,12 +177,31 @@ class UnitEncoder(SpanMemory):
     def ids_of_all(self, units: list[bytes]) -> list[list[int]]:
         return list(map(self._ids_of, units))
 
+    def _marked(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+        """Texts that hold the string of a special token."""
+        raw, out = data.tobytes(), set()
+        for mark in self.marks:
+            found = raw.find(mark)
+            while found >= 0:
+                k = int(np.searchsorted(at, found, "right")) - 1
+                if found + len(mark) <= at[k + 1]:
+                    out.add(k)
+                found = raw.find(mark, found + 1)
+        return sorted(out)
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = unit_starts(data, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         ids, over = self.ids(data, starts, np.append(starts[1:], len(data)))
-        return ids, over[np.searchsorted(starts, at, "left")]
+        over = over[np.searchsorted(starts, at, "left")]
+        marked = self._marked(data, at)
+        if marked:
+            parts = np.split(ids, over[1:-1])
+            for k in marked:
+                parts[k] = np.array(self.tokenizer.encode(data[at[k] : at[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            ids, over = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return ids, over
 
     def one(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -156,7 +211,7 @@ class UnitEncoder(SpanMemory):
 class PieceEncoder(SpanMemory):
     """Ids of single words in a sentencepiece vocabulary."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import sentencepiece
 
         super().__init__(limit)

@@ -7,11 +7,13 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
+from brindle.llm import spans, tokens
 from brindle.llm.common import vocabulary
-from brindle.llm.spans import FOLDED, span_hashes, texts_of, window_hashes, word_spans
+from brindle.llm.spans import FOLDED, VALUES, span_hashes, texts_of, window_hashes, word_spans
 from brindle.llm.tokens import UnitEncoder, piece_encoder, unit_encoder
-from tests.llm.cases import awkward
+from tests.llm.cases import awkward, words
 
 ODD = st.text(st.sampled_from("aZ é9.,'\n\t  s²日\x85  　-!_\x00"), max_size=40)
 
@@ -47,30 +49,82 @@ def test_windows_depend_on_order():
     assert len(window_hashes(np.array([1], np.uint64), 3)) == 0
 
 
+def thue_morse(rounds):
+    """A word over a and b, and its complement: they collide in any polynomial modulo 2**64 once long enough."""
+    word = "a"
+    for _ in range(rounds):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_do_not_collide():
+    words = [*thue_morse(10), *thue_morse(12), "a" * 1024, "ab" * 512, "ba" * 512]
+    data, at = texts_of(pa.array([" ".join(words)]))
+    starts, ends, _ = word_spans(data, at)
+    for values in (VALUES, FOLDED):
+        assert len(set(span_hashes(data, starts, ends, values).tolist())) == len(words)
+
+
+def test_hashes_do_not_depend_on_chunks(monkeypatch):
+    data, at = texts_of(pa.array([" ".join("w" * (i % 9 + 1) + str(i) for i in range(500))]))
+    starts, ends, _ = word_spans(data, at)
+    whole = span_hashes(data, starts, ends)
+    monkeypatch.setattr(spans, "_CHUNK", 64)
+    assert (span_hashes(data, starts, ends) == whole).all()
+    assert (span_hashes(data[starts[9] :], starts[9:] - starts[9], ends[9:] - starts[9]) == whole[9:]).all()
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return unit_encoder(vocabulary())
 
 
-@given(st.lists(ODD, min_size=1, max_size=8))
-@settings(max_examples=300, deadline=None)
-def test_ids_are_the_library_s(encoder, texts):
-    ids, at = encoder.encode(*texts_of(pa.array(texts)))
-    want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer as the file gives it."""
+    return Tokenizer.from_file(vocabulary())
 
 
-def test_ids_of_awkward_texts(encoder):
-    texts = [r[1] or "" for r in awkward()] + ["<|endoftext|> a", "don't we'll I'M", "x" * 5000, "12.34,56", "a.b. c.\nD"]
+def same_as(library, encoder, texts):
     ids, at = encoder.encode(*texts_of(pa.array(texts)))
-    for i, x in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(x, add_special_tokens=False).ids
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+MARKED = st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", "a", " b", "\n", "|>"]), max_size=6).map("".join)
 
 
-def test_forgetting_changes_nothing():
+@given(st.lists(ODD | MARKED, min_size=1, max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_ids_are_the_library_s(encoder, library, texts):
+    same_as(library, encoder, texts)
+
+
+def test_ids_of_awkward_texts(encoder, library):
+    long, other = thue_morse(10)
+    texts = [r[1] or "" for r in awkward()] + ["a <|endoftext|> b", "don't we'll I'M", "x" * 5000, "12.34,56", "a.b. c.\nD", long, other, f"{other} {long}"]
+    same_as(library, encoder, texts)
+    same_as(library, encoder, texts[::-1])
+
+
+def test_texts_of_many_words(encoder, library):
+    same_as(library, encoder, [words(5, 30_000), "é " * 40_000, "12 " * 25_000, "<|endoftext|>" + words(6, 25_000)])
+
+
+def test_forgetting_changes_nothing(library, monkeypatch):
     small = UnitEncoder(vocabulary(), limit=3)
     for x in ("one two three four five", "six seven eight", "one two three", "nine ten"):
-        assert small.one(x).tolist() == small.tokenizer.encode(x, add_special_tokens=False).ids
+        same_as(library, small, [x])
+    monkeypatch.setattr(UnitEncoder, "TEXT_MOST", 4)
+    for x in ("one two three four five", "six seven eight", "one two three", "nine ten"):
+        same_as(library, small, [x, x])
+
+
+def test_equal_hashes_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    small = UnitEncoder(vocabulary())
+    texts = ["one two three four", "five six, seven", "", "one two two three.", "ninety-nine"]
+    same_as(library, small, texts)
+    same_as(library, small, texts[::-1])
 
 
 def test_words_as_pieces():
