@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import field, map_arrow, session_of, stored
+from brindle.llm.common import field, forget, map_arrow, session_of, stored
 from brindle.llm.quality_rules import _distinct, _per_text, base_counts
 from brindle.llm.spans import FOLDED, span_hashes, texts_of, word_spans
 
-#: Documents the scorer is trained on, about; buckets of trigrams; score from which a document is kept.
-TRAIN_ROWS, BUCKETS, KEEP = 8000, 1 << 16, 0.5
+#: Different texts the scorer is trained on at most, and bytes of these; buckets of trigrams; score from which a document is kept.
+TRAIN_ROWS, TRAIN_BYTES, BUCKETS, KEEP = 8000, 1 << 24, 1 << 16, 0.5
 #: Trigrams of weight 0 that each text is taken to have besides its own: short texts stay near the bias.
 CALM = 64
 ROUNDS, STEPS = 60, 200
@@ -129,15 +129,23 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((key * np.uint32(2654435761)) >> np.uint32(16))[inside].astype(np.int64), owner[:-2][inside]
 
 
-def train_scorer(buckets: np.ndarray, owner: np.ndarray, soft: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """BUCKETS weights and a bias of a logistic model of the mean weight of a text's trigrams (Adam, both classes weigh the same)."""
+def trigram_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, bucket and how often: the counts of each text's trigrams by bucket."""
+    buckets, owner = trigrams(data, at)
+    keys, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
+    return (keys // BUCKETS).astype(np.int32), (keys % BUCKETS).astype(np.int32), times.astype(np.int32)
+
+
+def train_scorer(whose: np.ndarray, which: np.ndarray, times: np.ndarray, soft: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """BUCKETS weights and a bias of a logistic model of the mean weight of a text's trigrams (Adam, both classes weigh the same).
+
+    The first three are trigram counts by text and bucket, soft the labels of the texts.
+    """
     n = len(soft)
     w = np.zeros(BUCKETS + 1)
     if not n:
         return w
-    keys, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
-    whose, which = keys // BUCKETS, keys % BUCKETS
-    value = times / (CALM + np.bincount(owner, minlength=n))[whose]
+    value = times / (CALM + np.bincount(whose, times, n))[whose]
     balance = soft / max(soft.sum(), 1e-9) + (1 - soft) / max((1 - soft).sum(), 1e-9)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -149,13 +157,27 @@ def train_scorer(buckets: np.ndarray, owner: np.ndarray, soft: np.ndarray, steps
     return w
 
 
-def weak_label_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
+def training_sample(df: DataFrame, total: int, train_rows: int) -> DataFrame:
+    """At most train_rows different texts of a table (text) of ``total`` rows, in the order of their hashes.
+
+    About twice as many rows are looked at as are wanted, chosen by a hash of the text and first of
+    all reduced to one of each hash, so neither copies nor null or repeated ids add to the sample.
+    """
+    mark = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+    some = df.withColumn("mark", mark)
+    if total > 2 * train_rows:
+        some = some.where(F.col("mark") < F.lit((1 << 63) * 2 * train_rows // total))
+    return some.groupBy("mark").agg(F.first("text").alias("text")).orderBy("mark").limit(train_rows).select("text")
+
+
+def weak_label_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, keep: float = KEEP) -> DataFrame:
     """One row for each row of df: id, posterior (of its votes), score (of the scorer) and kept (score >= keep).
 
     A null text counts as empty: its votes are those of no words, its score that of the bias alone.
-    About train_rows rows, chosen by a hash of the id, train the scorer, all if there are fewer; the
-    pattern counts are of all rows. Repeated rows count as often as they occur. An empty table gives
-    an empty result. Other columns are not read.
+    The scorer is trained on train_rows different texts at most (``training_sample``), in their order as
+    long as they come to train_bytes at most; the pattern counts are of all rows, and all rows are
+    scored, whole texts however long. Repeated rows count as often as they occur, and are scored alike;
+    ids, null or not, are carried along. An empty table gives an empty result. Other columns are not read.
     """
     spark, k = session_of(df), len(LABELLERS)
     ballot = T.StructType([field(df, id_col), T.StructField("pattern", T.IntegerType())])
@@ -173,9 +195,8 @@ def weak_label_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, _, good = fit_labellers(patterns, counts)
     known = spark.sparkContext.broadcast((codes, good))
     total = int(counts.sum())
-    sample = df.select(id_col, text_col)
-    if total > train_rows:
-        sample = sample.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * train_rows / total) + 1)
+    # Written first: what trains is one task, but reads only this.
+    sample = stored(training_sample(df.select(F.coalesce(text_col, F.lit("")).alias("text")), total, train_rows), "sample")
 
     def posterior(data, at):
         codes, good = known.value
@@ -183,16 +204,21 @@ def weak_label_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return good[np.minimum(np.searchsorted(codes, own), len(codes) - 1)] if len(codes) else np.zeros(len(own))
 
     def train(batches):
-        parts, n = [], 0
+        parts, n, left = [], 0, train_bytes
         for b in batches:
-            data, at = texts_of(b.column(text_col))
-            buckets, owner = trigrams(data, at)
-            parts.append((buckets, owner + n, posterior(data, at)))
-            n += b.num_rows
-        joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3)]
+            if left < 0:
+                continue
+            data, at = texts_of(b.column("text"))
+            fits = int(np.searchsorted(at, left, "right")) - 1
+            data, at, left = data[: at[fits]], at[: fits + 1], left - int(at[-1])
+            whose, which, times = trigram_counts(data, at)
+            parts.append((whose + n, which, times, posterior(data, at)))
+            n += fits
+        joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
         yield pa.RecordBatch.from_pydict({"weights": [train_scorer(*joined).tobytes()]})
 
-    rows = map_arrow(sample.coalesce(1), train, "weights binary").collect()
+    rows = map_arrow(sample.coalesce(1).sortWithinPartitions(F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))), train, "weights binary").collect()
+    forget(sample)
     weights = spark.sparkContext.broadcast(np.frombuffer(bytes(rows[0].weights)) if rows else np.zeros(BUCKETS + 1))
     schema = T.StructType([field(df, id_col), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
