@@ -2,8 +2,8 @@
 
 A digest is 32 bytes, as of SHA-256. A filter says of a digest that its cells were hit ``least`` times
 or more; it may say so wrongly, but never fails to say so rightly. A filter has MAX_CELLS cells at
-most (a bit each on the driver: 32 MB), however many digests there are; what is asked of a fuller one
-is true more often.
+most (a bit each on the driver and in each Python worker that asks it: 128 MB), however many digests
+there are; what is asked of a fuller one is true more often.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import map_arrow
 
 #: Cells for each digest, and cells that each digest hits.
-CELLS, PROBES, MAX_CELLS = 8, 3, 1 << 28
+CELLS, PROBES, MAX_CELLS = 8, 3, 1 << 30
 _SEGMENT = 16  # bits of a place within a segment of the filter
 
 

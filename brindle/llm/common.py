@@ -40,7 +40,12 @@ def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over pieces of bounded size: memory follows the longest texts, not the partition. No piece is empty."""
-    return df.mapInArrow(lambda batches: fn(in_pieces(batches)), schema)
+    names = df.columns
+    if not any(set(".`") & set(c) for c in names):
+        return df.mapInArrow(lambda batches: fn(in_pieces(batches)), schema)
+    # mapInArrow takes a dot in a column's name for one in a path.
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(lambda batches: fn(in_pieces(b.rename_columns(names) for b in batches)), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,14 +63,14 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/brindle/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, its lineage cut there.
 
-    ``forget`` deletes the files of one, ``clear_stored`` those of the application.
+    With partition_by, rows of one value of that column can be read without the others. ``forget`` deletes the files of one, ``clear_stored`` those of the application.
     """
     spark = session_of(df)
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
