@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a batch that an operator works on at most (a longer row is a batch of its own), and of one that Spark sends to Python.
-BATCH_BYTES, SENT_BYTES = 1 << 21, 1 << 22
+BATCH_BYTES, SENT_BYTES = 1 << 20, 1 << 22
 
 
 def session_of(df: DataFrame) -> SparkSession:

@@ -59,7 +59,7 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _joined(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of data that begin at these places, end to end."""
-    over = np.cumsum(lengths)
+    over = np.cumsum(lengths, dtype=np.int64)
     return data[np.repeat(begin - over + lengths, lengths) + np.arange(over[-1] if len(over) else 0)]
 
 
@@ -72,16 +72,16 @@ class SpanMemory:
 
     TEXT_MOST = 1 << 25
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes of the spans met, ascending
-        self.slot = np.zeros(0, np.int64)  # and where in begin and count each is
+        self.slot = np.zeros(0, np.int32)  # and where in begin and count each is
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
-        self.begin, self.count, self.place, self.length = np.zeros((4, 1 << 14), np.int64)
+        self.begin, self.count, self.place, self.length = np.zeros((4, 1 << 14), np.int32)
 
     @staticmethod
     def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -112,7 +112,7 @@ class SpanMemory:
         self.text_used += size
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
-        self.slot = np.insert(self.slot, at, np.arange(k, k + n))
+        self.slot = np.insert(self.slot, at, np.arange(k, k + n, dtype=np.int32))
 
     def _others(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Which spans are not the ones remembered under their hash."""
@@ -144,7 +144,7 @@ class SpanMemory:
             extra, own = self._encoded(data, starts[odd], ends[odd])
             begin[odd], counts[odd] = self.used + np.cumsum(own) - own, own
             flat = np.concatenate([flat[: self.used], extra])
-        return _joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts)])
+        return _joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
 class UnitEncoder(SpanMemory):
@@ -154,7 +154,7 @@ class UnitEncoder(SpanMemory):
     in a text; a text with one goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__(limit)
@@ -211,7 +211,7 @@ class UnitEncoder(SpanMemory):
 class PieceEncoder(SpanMemory):
     """Ids of single words in a sentencepiece vocabulary."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         super().__init__(limit)
@@ -225,12 +225,15 @@ class PieceEncoder(SpanMemory):
         return self.pieces.encode([x.decode() for x in words], num_threads=1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _encoder(kind: type[SpanMemory], path: str) -> SpanMemory:
+    """A worker process holds one encoder at a time: that of another stage is let go."""
+    return kind(path)
+
+
 def unit_encoder(path: str) -> UnitEncoder:
-    """One encoder for each vocabulary and worker process."""
-    return UnitEncoder(path)
+    return _encoder(UnitEncoder, path)
 
 
-@lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+    return _encoder(PieceEncoder, path)
