@@ -4,8 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from brindle.llm.mixing import Mix, mix_sources, mixed_rows, source_targets
+from brindle.llm import mixing
+from brindle.llm.mixing import Mix, mix_sources, mixed_rows, permuted, source_targets
 from tests.llm.cases import SCHEMA, awkward, collected, frame, tables, words
 
 
@@ -81,10 +83,66 @@ def test_slots_take_each_block_in_turn(spark):
         if sum(t.values()) >= blocks:  # a whole pass takes every block
             assert set(t) == set(range(blocks))
         assert max(t.values()) - min([t[b] for b in range(blocks)]) <= 1
+    assert sorted(r.slot for r in mix.slots.collect()) == list(range(sum(sum(t.values()) for t in times.values())))
     share = sum(times[1].values()) / sum(sum(t.values()) for t in times.values())
     assert len(shards) > 10 and all(abs(s[1] / sum(s.values()) - share) < 0.35 for s in shards.values())
 
 
+def test_shards_draw_multinomial_counts(spark):
+    rows = [(i, words(i, 40), "en", s, 1) for i, s in enumerate("aabbbbccccccccdd" * 60)]
+    mix = Mix(spark.createDataFrame(rows, SCHEMA), block_words=4, shard_slots=128)
+    shards = defaultdict(Counter)
+    for r in mix.slots.collect():
+        shards[r.shard][r.sid] += 1
+    full = [s for s in shards.values() if sum(s.values()) == 128]
+    assert len(full) >= 60
+    want = brute_targets({s: 40 * n for s, n in Counter(r[3] for r in rows).items()})
+    for k, s in enumerate("abcd"):
+        p = want[s] / sum(want.values())
+        counts = [x[k + 1] for x in full]
+        mean, spread = sum(counts) / len(counts), sum((c - 128 * p) ** 2 for c in counts) / len(counts)
+        assert abs(mean - 128 * p) < 2.5 and 0.5 < spread / (128 * p * (1 - p)) < 1.7  # drawn, not a fixed quota
+    # Over all shards the targets are met to a slot.
+    total = Counter(r.sid for r in mix.slots.collect())
+    assert all(abs(4 * total[k + 1] - want[s]) <= 8 for k, s in enumerate("abcd"))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_permutations(spark, n):
+    rows = spark.range(n).select("id", *(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(seed)).alias(f"p{seed}") for seed in (1, 2))).orderBy("id").collect()
+    for seed in (1, 2):
+        got = [r[seed] for r in rows]
+        assert sorted(got) == list(range(n))
+    if n >= 1000:
+        steps = Counter((b - a) % n for a, b in zip(got, got[1:], strict=False))
+        assert max(steps.values()) < 12  # no arithmetic progression
+        assert sum(r.p1 == r.p2 for r in rows) < 12 and sum(r.p1 == r.id for r in rows) < 12
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_COPIES", 7)
+    rows = [(1, words(1, 50), "en", "a", 1)] * 100 + [(i, words(i, 30), "en", "ab"[i % 2], 1) for i in range(2, 60)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and all(r.taken <= 3 * r.size for r in got)
+    want = brute_targets({s: sum(size(r[1]) for r in rows if r[3] == s) for s in "ab"})
+    source = {r[0]: r[3] for r in rows}
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - want[s]) <= 2 * mixing.BLOCK_WORDS
+
+
+def test_shards_of_documents(spark):
+    mix = Mix(spark.createDataFrame(corpus(), SCHEMA), block_words=16, shard_slots=32)
+    taken = mix.taken().collect()
+    assert all(list(r.shards) == sorted(set(r.shards)) and bool(r.shards) == (r.taken > 0) for r in taken)
+    assert {x for r in taken for x in r.shards} == {r.shard for r in mix.slots.select("shard").distinct().collect()}
+
+
+def test_long_text(spark):
+    rows = [(1, words(1, 50_000), "en", "a", 1), (2, words(2, 100), "en", "b", 1)]
+    got = {r.doc_id: r for r in mix_sources(frame(spark, rows)).collect()}
+    assert got[1].size == 50_000 and abs(got[1].taken - got[1].target) <= 256 and got[2].taken == 300
+
+
 def test_awkward_rows(spark):
     for df, rows in tables(spark):
         got = mix_sources(df).collect()
