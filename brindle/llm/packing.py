@@ -3,11 +3,13 @@
 Whole windows are cut off each document; what remains of it (its rest) is shorter than a window. The
 rests are packed group by group, a group being up to GROUP_ROWS consecutive documents of a partition,
 so packing needs no shuffle, its memory is bounded, and a lost task is simply run again. Within a
-group: the shallow combinations (one to three lengths) that fill a window exactly are enumerated,
-the number of times to use each is solved for against the histogram of rests by non-negative least
-squares, the solution is rounded within the stock, and what is left over is laid end to end and cut
-where a window is full. Only the last window of a group can have a gap; it is cut into windows whose
-lengths are powers of two, which need no padding.
+group: the shallow combinations (two or three lengths) that fill a window exactly are enumerated, and
+for each length, as the least, the middle or the largest, the PER_LENGTH of which there is most are kept. The
+number of times to use each is solved for against the histogram of rests by non-negative least
+squares, up to TOLERANCE on the conditions of the optimum, and the solution is rounded within the stock.
+(With all combinations the same windows would be spread over so many that each has a small fraction of one, which rounds to none.)
+What is left over is laid end to end and cut where a window is full. Only the last window of a group can
+have a gap; it is cut into windows whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -24,50 +26,81 @@ from brindle.llm.spans import texts_of
 from brindle.llm.tokens import unit_encoder
 
 GROUP_ROWS, GROUP_TOKENS = 8192, 1 << 22
+#: Combinations kept for each length in each place; distance from the optimum, in windows, and rounds of the solver at most.
+PER_LENGTH, TOLERANCE, ROUNDS = 2, 0.02, 20_000
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Rows of up to three of the lengths, ascending and padded with 0, that add up to the window."""
+    """Rows of two or three of the lengths (one, if it is the window), ascending and padded with 0, that add up to the window."""
     have = np.zeros(window + 1, bool)
     have[lengths] = True
     pairs = lengths[(2 * lengths <= window)]
     pairs = pairs[have[window - pairs]]
-    rows = [np.stack([np.zeros_like(pairs), pairs, window - pairs], 1)]
-    for a in lengths[3 * lengths <= window]:
-        b = lengths[(lengths >= a) & (2 * lengths <= window - a)]
-        b = b[have[window - a - b]]
-        rows.append(np.stack([np.full_like(b, a), b, window - a - b], 1))
-    return np.concatenate(rows)
-
-
-def solve_counts(combos: np.ndarray, stock: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Non-negative x that minimises |A x - stock|^2, A having the lengths of each combination (accelerated projected gradient)."""
+    least, middle = np.meshgrid(lengths[3 * lengths <= window], lengths[2 * lengths <= window], indexing="ij")
+    fits = (least <= middle) & (middle <= window - least - middle)
+    least, middle = least[fits], middle[fits]
+    fits = have[window - least - middle]
+    least, middle = least[fits], middle[fits]
+    return np.concatenate([np.stack([np.zeros_like(pairs), pairs, window - pairs], 1), np.stack([least, middle, window - least - middle], 1)])
+
+
+def chosen(combos: np.ndarray, stock: np.ndarray, per_length: int = PER_LENGTH) -> np.ndarray:
+    """All pairs, and the triples that are among the per_length with the most stock for any of their lengths in its place."""
+    most = np.where(combos > 0, stock[combos], np.inf).min(1, initial=np.inf)
+    keep = combos[:, 0] == 0
+    for place in range(3):
+        order = np.lexsort((np.arange(len(combos)), -most, combos[:, place]))
+        first = np.flatnonzero(np.diff(combos[order, place], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep[order[rank < per_length]] = True
+    return combos[keep]
+
+
+def solve_counts(combos: np.ndarray, stock: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Non-negative x that minimises |A x - stock|^2, A having the lengths of each combination (accelerated projected gradient).
+
+    It stops where the conditions of the optimum hold up to the tolerance: no x below 0, no gradient
+    below 0, and one of the two 0 for each combination.
+    """
     m, size = len(combos), len(stock)
     if not m:
         return np.zeros(0)
     weight = (combos > 0).astype(float)
+
+    def gain(z: np.ndarray) -> np.ndarray:
+        """The gradient's opposite at z."""
+        left = stock - np.bincount(combos.ravel(), (weight * z[:, None]).ravel(), size)
+        left[0] = 0
+        return left[combos].sum(1)
+
     x = y = np.zeros(m)
     uses = np.bincount(combos.ravel(), weight.ravel(), size)
+    uses[0] = 0
     step = 1.0 / max(1.0, 3.0 * uses.max())  # |A|^2 is at most its largest row sum times its largest column sum
     t = 1.0
-    for _ in range(rounds):
-        left = stock - np.bincount(combos.ravel(), (weight * y[:, None]).ravel(), size)
-        left[0] = 0
-        new = np.maximum(0, y + step * left[combos].sum(1))
+    for k in range(1, ROUNDS + 1):
+        new = np.maximum(0, y + step * gain(y))
+        if ((y - new) * (new - x)).sum() > 0:  # past the lowest point on this way: start anew from here
+            t = 1.0
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
+        if k % 50 == 0 and np.abs(np.minimum(x, -gain(x))).max() < tolerance:
+            break
     return x
 
 
 def rounded(combos: np.ndarray, x: np.ndarray, stock: np.ndarray) -> tuple[list[tuple[int, list[int]]], np.ndarray]:
-    """(times, lengths) of each combination used, largest share first and within the stock, and the stock left."""
+    """(times, lengths) of each combination used, x rounded, the largest first and within the stock, and the stock left."""
     left = stock.astype(np.int64).tolist()
     used = []
     for i in np.argsort(-x, kind="stable").tolist():
+        k = int(x[i] + 0.5)
+        if not k:
+            break
         lengths = [v for v in combos[i].tolist() if v]
         need = {v: lengths.count(v) for v in lengths}
-        k = min(max(1, round(float(x[i]))), *(left[v] // c for v, c in need.items()))
+        k = min(k, *(left[v] // c for v, c in need.items()))
         if k > 0:
             for v, c in need.items():
                 left[v] -= c * k
@@ -83,7 +116,7 @@ def pack_rests(rests: np.ndarray, window: int) -> list[tuple[int, int, int, int,
     stock = np.bincount(rests, minlength=window + 1).astype(np.int64)
     stock[0] = 0
     lengths = np.flatnonzero(stock)
-    combos = combinations(lengths, window)
+    combos = chosen(combinations(lengths, window), stock)
     used, left = rounded(combos, solve_counts(combos, stock.astype(float)), stock)
     order = np.argsort(rests, kind="stable")
     at = np.searchsorted(rests[order], np.arange(window + 2)).tolist()
@@ -148,7 +181,7 @@ def _pack_group(docs: list[tuple[object, np.ndarray]], window: int, first: int)
 def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
 
-    A document's ids are those of its whole text, with end_id after them; a null text counts as
+    A document's ids are those of its whole text, however long, with end_id after them; a null text counts as
     empty, so each row has at least one id. Repeated rows are packed like others. A null id is
     carried along. Sequence ids are unique, not dense: the partition's number lies above bit 40.
     An empty table gives no pieces. Columns besides id and text are not read.

@@ -1,5 +1,6 @@
 """Packing: every id in one piece, offsets without gaps, little padding."""
 
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brindle.llm.common import vocabulary
-from brindle.llm.packing import combinations, pack, pack_rests, rounded, solve_counts
+from brindle.llm.packing import TOLERANCE, chosen, combinations, pack, pack_rests, rounded, solve_counts
 from brindle.llm.tokens import unit_encoder
 from tests.llm.cases import tables
 
@@ -47,21 +48,68 @@ def test_rests(rests):
     assert all(n & (n - 1) == 0 for n in sizes)
 
 
-def test_least_squares():
-    stock = np.zeros(17)
-    stock[[4, 6, 12, 5]] = [20, 10, 20, 3]
-    combos = combinations(np.flatnonzero(stock), 16)
-    assert [4, 6, 6] in combos.tolist() and [0, 4, 12] in combos.tolist() and (combos.sum(1) == 16).all()
-    x = solve_counts(combos, stock, 2000)
-    assert (x >= 0).all()
-    matrix = np.zeros((17, len(combos)))
+def matrix_of(combos, size):
+    matrix = np.zeros((size, len(combos)))
     for j, c in enumerate(combos):
         for v in c[c > 0]:
             matrix[v, j] += 1
+    return matrix
+
+
+def best_by_enumeration(matrix, stock):
+    """Least squares over each set of columns in turn: the best one without negative counts."""
+    best = stock @ stock
+    for k in range(1, matrix.shape[1] + 1):
+        for columns in itertools.combinations(range(matrix.shape[1]), k):
+            x = np.linalg.lstsq(matrix[:, columns], stock, rcond=None)[0]
+            if (x >= -1e-9).all():
+                best = min(best, ((matrix[:, columns] @ x - stock) ** 2).sum())
+    return best
+
+
+def test_least_squares():
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        stock = np.zeros(17)
+        lengths = rng.choice(np.arange(1, 16), 6, replace=False)
+        stock[lengths] = rng.integers(1, 40, 6)
+        combos = combinations(np.flatnonzero(stock), 16)
+        assert (combos.sum(1) == 16).all() and {tuple(c) for c in combos.tolist()} == {(0,) * (3 - n) + c for n in (2, 3) for c in itertools.combinations_with_replacement(sorted(lengths.tolist()), n) if sum(c) == 16}
+        if not 0 < len(combos) <= 9:
+            continue
+        matrix = matrix_of(combos, 17)
+        x = solve_counts(combos, stock)
+        assert (x >= 0).all() and ((matrix @ x - stock) ** 2).sum() == pytest.approx(best_by_enumeration(matrix, stock), abs=0.05)
+
+
+def test_known_optimum():
+    # 30 windows of 400 + 624, 20 of 100 + 300 + 624 and 10 of 512 twice, and nothing else.
+    stock = np.zeros(1025)
+    stock[[400, 624, 100, 300, 512]] = [30, 50, 20, 20, 20]
+    combos = chosen(combinations(np.flatnonzero(stock), 1024), stock)
+    used, left = rounded(combos, solve_counts(combos, stock), stock.astype(np.int64))
+    assert sorted((k, tuple(c)) for k, c in used) == [(10, (512, 512)), (20, (100, 300, 624)), (30, (400, 624))] and not left.any()
+
+
+@pytest.mark.parametrize("rests, share", [("uniform", 0.8), ("short", 0.5), ("few", 0)])
+def test_the_solution_decides(rests, share):
+    """At the settings shipped: the conditions of an optimum hold, and most windows come from rounded counts where the histogram allows."""
+    rng = np.random.default_rng(2)
+    rests = {"uniform": rng.integers(1, 1024, 8192), "short": np.minimum(1023, rng.geometric(1 / 300, 8192)), "few": rng.integers(1, 1024, 100)}[rests]
+    stock = np.bincount(rests, minlength=1025).astype(np.int64)
+    combos = chosen(combinations(np.flatnonzero(stock), 1024), stock)
+    x = solve_counts(combos, stock.astype(float))
+    matrix = matrix_of(combos, 1025)
     gradient = matrix.T @ (matrix @ x - stock)
-    assert (gradient > -1e-2).all() and abs(gradient @ x) < 0.1  # the conditions of a non-negative optimum
-    used, left = rounded(combos, x, stock.astype(np.int64))
-    assert (left >= 0).all() and left.sum() + sum(k * len(v) for k, v in used) == stock.sum()
+    assert (x >= 0).all() and np.abs(np.minimum(x, gradient)).max() < TOLERANCE * 1.01
+    used, left = rounded(combos, x, stock)
+    assert (left >= 0).all() and left.sum() + sum(k * len(v) for k, v in used) == len(rests)
+    exact = {tuple(v for v in c if v): n for c, n in zip(combos.tolist(), x, strict=True)}
+    assert all(1 <= k <= exact[tuple(c)] + 0.5 for k, c in used)
+    # Of all windows there could be; short rests are too many for windows of three.
+    assert sum(k for k, _ in used) > share * rests.sum() / 1024
+    out = pack_rests(rests, 1024)
+    assert len({s for *_, s, _ in out}) <= rests.sum() / 1024 + 12
 
 
 @pytest.mark.parametrize("window", [16, 1024])
