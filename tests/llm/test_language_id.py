@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, what is learned from, awkward texts."""
 
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import documents
 from brindle.llm.language_id import PROFILE, grams_of, identify_language, learn_profiles, predict_language, ranked
 from tests.conftest import DATA
-from tests.llm.cases import awkward, collected, frame, tables
+from tests.llm.cases import awkward, collected, frame, tables, words
 
 
 def test_held_out_accuracy(spark):
@@ -66,3 +67,47 @@ def test_rare_languages_are_learned_whatever_the_size(spark):
     got = learn_profiles(frame(spark, rows + rare), train_rows=40)
     assert set(got) == {"en", "zz"} and got["zz"] == alone
     assert {r.lang_pred for r in predict_language(frame(spark, rare), got).collect()} == {"zz"}
+
+
+def plain_grams(text):
+    """The same n-grams by plain Python: (value for ties, count)."""
+    framed, n = " ", Counter()
+    for c in text.lower():
+        if c.isalpha():
+            framed += c
+        elif framed[-1] != " ":
+            framed += " "
+    framed += "" if framed[-1] == " " else " "
+    if framed.strip() == "":
+        return n
+    value = lambda g: sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    for k in (1, 2, 3):
+        for i in range(len(framed) - k + 1):
+            g = framed[i : i + k]
+            if g != " " and (k < 3 or g[1] != " "):
+                n[value(g)] += 1
+    return n
+
+
+def plain_ranks(n, top):
+    return {g: i for i, (g, _) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:top])}
+
+
+def test_against_plain_out_of_place_distances(spark):
+    docs = documents(spark, f"{DATA}/sf0.001")
+    rows = [tuple(r)[:3] for r in docs.collect()] + [(9000 + i, x, lang) for i, (_, x, lang, *_) in enumerate(awkward())]
+    rows += [(9900, words(3, 30_000), "en"), (9901, "日本語 テキスト", "ja"), (9902, "ÀÉ 12 ß", None)]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if not held[i] and text is not None and lang is not None:
+            counts[lang] += plain_grams(text)
+    profiles = {lang: plain_ranks(n, 300) for lang, n in counts.items() if n}
+    want = []
+    for i, text, _ in rows:
+        own = plain_ranks(plain_grams(text or ""), 300)
+        far = {x: sum(min(300, abs(p[g] - k)) if g in p else 300 for g, k in own.items()) for x, p in sorted(profiles.items())}
+        best = min(far, key=far.get) if own else "und"
+        want.append((i, held[i], best, round(1 - far[best] / (300 * len(own)), 9) if own else 0.0))
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == sorted(want)

@@ -1,10 +1,14 @@
 """Base counts against plain Python, and verdicts of clean and spoiled texts."""
 
+import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,7 +16,7 @@ from brindle.llm.common import documents, vocabulary
 from brindle.llm.quality_rules import BANDS, COUNTS, base_counts, fertility, quality_rules, script_of, verdict
 from brindle.llm.spans import texts_of, word_spans
 from tests.conftest import DATA
-from tests.llm.cases import frame, tables
+from tests.llm.cases import SCHEMA, frame, tables, words
 
 VOCABULARY = vocabulary("piece_bpe_32k.model")
 
@@ -66,8 +70,6 @@ def test_labels(spark):
 
 
 def test_scrambled_text_of_other_scripts_fails(spark):
-    import random
-
     r = random.Random(5)
     blocks = {"han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "arabic": (0x600, 0x6FF), "hebrew": (0x5C0, 0x5FF), "greek": (0x370, 0x3FF), "armenian": (0x530, 0x58F), "devanagari": (0x900, 0x97F), "bengali": (0x980, 0x9FF), "tamil": (0xB80, 0xBFF), "thai": (0xE00, 0xE5B), "mixed": (0x80, 0x7FF)}
     texts = [" ".join("".join(chr(r.randint(*b)) for _ in range(6)) for _ in range(150)) for b in blocks.values()]
@@ -95,3 +97,47 @@ def test_prose_of_other_scripts_stays_within_its_bands():
     measures = fertility(data, at, spans, VOCABULARY, base_counts(data, at, spans)["word_chars"])
     assert script_of(data, at) == list(names)
     assert verdict(measures, np.array([BANDS[k] for k in names])).all()
+
+
+def plain_measures(text, pieces):
+    """chars_per_token, byte_share, entropy_share and sign_share word by word, in plain Python."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    ids = [i for w in found for i in pieces.encode(w)]
+    if not ids:
+        return [0.0] * 4
+    n, times = len(ids), Counter(ids)
+    name = lambda i: pieces.id_to_piece(i).replace("\u2581", "")
+    bits = -sum(k / n * math.log2(k / n) for k in times.values())
+    single = sum(pieces.is_byte(i) for i in ids)
+    sign = sum(not pieces.is_byte(i) and bool(name(i)) and not any(c.isalnum() for c in name(i)) for i in ids)
+    return [sum(map(len, found)) / n, single / n, bits / math.log2(max(2, min(n, pieces.vocab_size()))), sign / n]
+
+
+def test_measures_and_verdict_by_plain_python(spark):
+    pieces = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    rows = [tuple(r) for r in documents(spark, f"{DATA}/sf0.001").collect()]
+    r = random.Random(4)
+    rows += [(9000 + i, " ".join("".join(r.choice("aeinrst#*日é1") for _ in range(r.randrange(1, 9))) for _ in range(80)), lang, "s", 1) for i, lang in enumerate(["en", "de", "fr", "es"] * 5)]
+    rows += [(9100, words(8, 25_000), "en", "s", 1), (9101, "ab " * 30_000, "en", "s", 1), (9102, None, "en", "s", 1)]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, SCHEMA).repartition(3), VOCABULARY).collect()}
+    verdicts = Counter()
+    for i, text, lang, *_ in rows:
+        want = plain_measures(text or "", pieces)
+        x = got[i]
+        assert [x.chars_per_token, x.byte_share, x.entropy_share, x.sign_share] == pytest.approx(want, abs=1e-9)
+        low, high, most_bytes, least_entropy, most_signs = BANDS[lang]
+        failed = x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words
+        assert x.base_failed == failed
+        assert x.kept == (not failed and low <= want[0] <= high and want[1] <= most_bytes and want[2] >= least_entropy and want[3] <= most_signs)
+        verdicts[failed, x.kept] += 1
+    assert len(verdicts) == 3 and verdicts[False, False] > 5
+
+
+def test_regular_lines_are_told_apart():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = f"{word}\n{other}\n{word}\n{other} {word}"
+    counts = base_counts(*texts_of(pa.array([text])))
+    assert tuple(int(counts[c][0]) for c in COUNTS) == brute(text) and counts["n_dup_lines"].tolist() == [1]
