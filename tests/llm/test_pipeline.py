@@ -4,12 +4,17 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brindle.llm import queries
 from brindle.llm.common import documents, vocabulary
+from brindle.llm.exact_dedup import normal_digest
+from brindle.llm.quality_rules import quality_rules
 from brindle.llm.tokens import unit_encoder
 from tests.conftest import DATA
+from tests.llm.cases import awkward, frame
 from tests.llm.test_exact_dedup import brute as brute_exact
 from tests.llm.test_jaccard import brute as brute_near
 from tests.llm.test_mixing import brute_targets, size
@@ -77,3 +82,68 @@ def test_oracles(spark):
 
 def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+
+
+def awkward_texts():
+    """The awkward rows, with near and exact copies, nulls in every column and a long text, each of a size that the rules keep."""
+    rows = awkward()
+    prose = {r.doc_id: r.text for r in sorted(PROSE)}
+    some = list(prose.values())
+    rows += [(100 + i, x, "en", "s", len(x)) for i, x in enumerate(some[:12])]
+    rows += [(200 + i, x.upper() if i % 2 else x, None, None, None) for i, x in enumerate(some[:6])]
+    rows += [(300 + i, x + " and one more", "de", "t", 1) for i, x in enumerate(some[:12])]
+    rows += [(None, some[12], "en", "s", 1), (None, some[12], "en", "s", 1), (400, " ".join(some[13:15]) * 30, "en", "s", 1)]
+    return rows
+
+
+PROSE = []
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_stages_on_awkward_rows(spark, extra):
+    if not PROSE:
+        labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+        PROSE.extend(documents(spark, SF).join(labels, "doc_id").orderBy("doc_id").select("doc_id", "text").collect())
+    docs = frame(spark, awkward_texts(), extra=extra)
+    quality, exact, near, mixing, packing = (f for _, f in corpus_pipeline.STAGES)
+    rows = [tuple(r) for r in docs.collect()]
+
+    kept = quality(spark, docs, SF)
+    got = [tuple(r) for r in kept.collect()]
+    verdicts = {(r.doc_id, r.n_words): r.kept for r in quality_rules(docs, vocabulary("piece_bpe_32k.model")).collect()}
+    assert kept.columns == docs.columns and sorted(got, key=str) == sorted((r for r in rows if verdicts[r[0], brute_counts(r[1])[0]]), key=str) and len(got) > 20
+
+    left = got
+    kept = exact(spark, kept, SF)
+    got = [tuple(r) for r in kept.collect()]
+    want = {(keep, sha) for _, keep, _, _, sha in brute_exact(left)}
+    assert kept.columns == docs.columns and set(got) <= set(left)
+    assert sorted(((r[0], normal_digest(r[1]).hex()) for r in got), key=str) == sorted(want, key=str)
+
+    left = got
+    kept = near(spark, kept, SF)
+    got = [tuple(r) for r in kept.collect()]
+    groups = {}
+    for i, _, c in brute_near(left):
+        groups.setdefault(c, []).append(i)
+    assert kept.columns == docs.columns and set(got) <= set(left) and sorted((r[0] for r in got), key=str) == sorted(groups, key=str)
+
+    mixed = mixing(spark, kept, SF)
+    assert mixed.columns == docs.columns
+    texts = {r[0]: r[1].split() for r in got}
+    for r in mixed.collect():
+        own, at = texts[r.doc_id], 0
+        for w in r.text.split():
+            at = own.index(w, at) + 1
+        assert r.n_chars == len(r.text)
+    pieces = packing(spark, mixed, SF).collect()
+    encoder = Tokenizer.from_file(vocabulary())
+    assert sum(r.length for r in pieces) == sum(len(encoder.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed.collect())
+
+
+def test_stages_on_an_empty_table(spark):
+    for extra in (False, True):
+        docs = frame(spark, [], extra=extra)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            assert out.count() == 0 and (k == 4 or out.columns == docs.columns)
