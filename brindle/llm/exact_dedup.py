@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.bloom import CELLS, MAX_CELLS, bloom_filter, flat, may_hold, rows_that_may_match
+from brindle.llm.bloom import CELLS, MAX_CELLS, bloom_filter, flat, may_hold
 from brindle.llm.common import field, forget, fresh_prefix, join_hot, map_arrow, own_dir, session_of, stored
 
 ROUND_ROWS = MAX_CELLS // CELLS
@@ -122,12 +122,15 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = stored(_groups(probed, id_col).where("group_size > 1"), "groups")
     p = fresh_prefix(df)
 
-    def hashed(batches):
+    bits, cells = bloom_filter(groups.select("sha"), groups.count())
+    spread = session_of(df).sparkContext.broadcast(bits)
+
+    def mark(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, _digests(b.column(text_col))], names=[*b.schema.names, f"{p}sha"])
+            sha = _digests(b.column(text_col))
+            yield pa.RecordBatch.from_arrays([*b.columns, sha, pa.array(may_hold(flat(sha), spread.value, cells))], names=[*b.schema.names, f"{p}sha", f"{p}may"])
 
-    rows = map_arrow(df, hashed, T.StructType([*df.schema.fields, T.StructField(f"{p}sha", T.BinaryType())]))
-    marked = rows_that_may_match(rows, F.col(f"{p}sha"), groups.select("sha"), groups.count(), f"{p}may")
+    marked = map_arrow(df, mark, T.StructType([*df.schema.fields, T.StructField(f"{p}sha", T.BinaryType()), T.StructField(f"{p}may", T.BooleanType())]))
     doubtful = marked.where(F.col(f"{p}may")).drop(f"{p}may")
     keep = groups.select(F.col("sha").alias(f"{p}key"), F.col("keep_id").alias(f"{p}keep"))
     joined = doubtful.join(keep, F.col(f"{p}sha") == F.col(f"{p}key"), "left")

@@ -25,7 +25,7 @@ from brindle.llm.common import field, map_arrow
 from brindle.llm.spans import texts_of
 from brindle.llm.tokens import unit_encoder
 
-GROUP_ROWS, GROUP_TOKENS = 8192, 1 << 22
+GROUP_ROWS, GROUP_TOKENS = 8192, 1 << 21
 #: Combinations kept for each length in each place; distance from the optimum, in windows, and rounds of the solver at most.
 PER_LENGTH, TOLERANCE, ROUNDS = 2, 0.02, 20_000
 
