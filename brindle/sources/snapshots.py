@@ -4,7 +4,7 @@ A state names, for each table, the folders its rows lie in (segments) and folder
 keys. States are numbered files under ``_log``; the next one is created exclusively, so of two
 writers only one succeeds and the other tries again on what it left. Data folders are written before
 the state that names them and never changed, so a reader keeps its version and a crash leaves at most
-folders that no state names.
+folders that no state names. ``free`` deletes what only past states name.
 
 A row's key is (__seg, __row): the segment's random number and the row's number in it. An update
 writes one folder with the new rows, their new keys, and the keys they replace; a delete writes the
@@ -14,10 +14,12 @@ keys alone. Row changes thus cost what they touch, not the whole table.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,18 +44,36 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
 
     def create(self, path: str, text: str) -> bool:
-        """Writes a new file; False if there is one already."""
-        temp = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
-        out = self.fs.create(temp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        """Writes a new file, whole or not at all; False if there is one already, however many try at once."""
+        raw, scheme = bytearray(text.encode()), self.fs.getScheme()
+        if scheme not in ("file", "hdfs", "webhdfs", "viewfs"):
+            # Object stores show a file when it is closed, and refuse then if there is one.
+            return self._write(path, raw, False)
+        temp = f"{path}.{uuid.uuid4().hex}.tmp"
+        self._write(temp, raw, True)
         try:
-            # A rename doesn't replace a file where the file system is shared; a local one is asked first.
-            if self.fs.exists(self._path(path)):
+            if scheme == "file":  # a rename would replace; a link doesn't
+                nio, uri = self.jvm.java.nio.file, lambda p: self.fs.makeQualified(self._path(p)).toUri()
+                nio.Files.createLink(nio.Paths.get(uri(path)), nio.Paths.get(uri(temp)))
+                return True
+            return bool(self.fs.rename(self._path(temp), self._path(path)))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
                 return False
-            return bool(self.fs.rename(temp, self._path(path)))
+            raise
         finally:
-            self.fs.delete(temp, False)
+            self.fs.delete(self._path(temp), False)
+
+    def _write(self, path: str, raw: bytearray, overwrite: bool) -> bool:
+        try:
+            out = self.fs.create(self._path(path), overwrite)
+            out.write(raw)
+            out.close()
+            return True
+        except Py4JJavaError as e:
+            if overwrite or not any(w in str(e.java_exception) for w in ("AlreadyExists", "already exists", "PreconditionFailed", "412")):
+                raise
+            return False
 
     def read(self, path: str) -> str:
         stream = self.fs.open(self._path(path))
@@ -65,6 +85,11 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
+    def ages(self, folder: str) -> dict[str, float]:
+        """Seconds since each entry of a folder was written last."""
+        p, now = self._path(folder), time.time()
+        return {s.getPath().getName(): now - s.getModificationTime() / 1000 for s in self.fs.listStatus(p)} if self.fs.exists(p) else {}
+
 
 def empty_state(database: str) -> dict:
     return {"version": 0, "next_oid": 2, "databases": {database: {"oid": 1, "tables": {}}}}
@@ -74,6 +99,7 @@ class Store:
     """States and data folders under one root."""
 
     KEPT = 20  # versions of the log that stay
+    ORPHAN_SECONDS = 86_400  # age at which a folder that no version ever named was left by a crash
 
     def __init__(self, spark: SparkSession, root: str, database: str = "main"):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
@@ -88,7 +114,14 @@ class Store:
         return [int(n[:12]) for n in self.files.names(f"{self.root}/_log") if n.endswith(".json")]
 
     def state(self) -> dict:
-        return json.loads(self.files.read(self._file(max(self._versions()))))
+        for _ in range(5):
+            last = max(self._versions())
+            try:
+                return json.loads(self.files.read(self._file(last)))
+            except Py4JJavaError:  # deleted meanwhile by another process: there is a later one then
+                if max(self._versions()) == last:
+                    raise
+        raise EngineError("too many writers at once")
 
     def publish(self, change: Callable[[dict], None], tries: int = 50) -> dict:
         """Applies change to the latest state and writes the outcome as the next; again if another writer was first."""
@@ -128,10 +161,10 @@ class Store:
         return self.spark.read.schema(schema).parquet(*folders).toDF(*KEYS)
 
     def write(self, rows: DataFrame) -> tuple[str, int]:
-        """Writes rows to a new folder; its path and the number of rows."""
-        path = self.folder()
-        rows.write.parquet(path)
-        return path, self.spark.read.schema(rows.schema).parquet(path).count()
+        """Writes rows to a new folder; its path and the number of rows, counted on the way."""
+        path, seen = self.folder(), Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, seen.get["n"]
 
     def with_keys(self, rows: DataFrame) -> DataFrame:
         """Adds a new key to each row."""
@@ -143,3 +176,38 @@ class Store:
             return table["segments"], table["removed"]
         path, n = self.write(self.read(table, table["segments"], table["removed"]))
         return ([path] if n else []), []
+
+    @staticmethod
+    def _named(state: dict) -> set[str]:
+        return {p for d in state["databases"].values() for t in d["tables"].values() for p in (*t["segments"], *t["removed"])}
+
+    def free(self) -> int:
+        """Forgets all states but the latest, and deletes the folders that only they named, and old ones that none named; how many.
+
+        A transaction of another process that still reads a past state fails from then on; folders it
+        has written and not committed are left alone.
+        """
+        *past, last = self._versions()
+        before: set[str] = set()
+        for v in past:
+            before |= self._named(json.loads(self.files.read(self._file(v))))
+        now = self._named(json.loads(self.files.read(self._file(last))))
+        for v in past:
+            self.files.delete(self._file(v))
+        prefix = f"{self.root}/data/"
+        old = {prefix + name for name, age in self.files.ages(prefix).items() if age > self.ORPHAN_SECONDS}
+        gone = (before | old) - now
+        for path in gone:
+            self.files.delete(path)
+        return len(gone)
+
+    # -- conflicts --
+
+    def share_keys(self, folder: str, others: list[str]) -> bool:
+        """Whether a folder of removed keys has one that is in the other folders too."""
+        return bool(others) and not self.read_keys([folder]).join(self.read_keys(others), list(KEYS), "left_semi").isEmpty()
+
+    def all_live(self, folder: str, table: dict) -> bool:
+        """Whether all keys of a folder are those of rows the table has."""
+        rows = self.read(table, table["segments"], table["removed"]).select(*KEYS)
+        return self.read_keys([folder]).join(rows, list(KEYS), "left_anti").isEmpty()

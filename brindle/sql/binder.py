@@ -164,6 +164,11 @@ class Expressions:
 
     def _inlist(self, e):
         out = None
+        column, kind = self.bind(e.arg)
+        plain = [x.value for x in e.items if isinstance(x, X.Const) and x.kind == kind]
+        if len(plain) == len(e.items) > 2 and kind in ("int", "string"):  # one lookup, however long the list
+            out = column.isin(plain)
+            return (~out if e.negated else out), "bool"
         for item in e.items:
             same, _ = self._binary(X.Binary("=", e.arg, item))
             out = same if out is None else out | same
