@@ -63,9 +63,18 @@ def star_join(t, spark, sf):
 
 
 @query("""SELECT 'region' AS table_name, 'r_regionkey int, r_name string' AS schema, count(*) AS cardinality FROM region
-          UNION ALL SELECT 'nation', 'n_nationkey int, n_name string, n_regionkey int', count(*) FROM nation""")
+          UNION ALL SELECT 'nation', 'n_nationkey int, n_name string, n_regionkey int', count(*) FROM nation
+          UNION ALL SELECT 'customer', 'c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string', count(*) FROM customer
+          UNION ALL SELECT 'supplier', 's_suppkey bigint, s_name string, s_nationkey int, s_acctbal double', count(*) FROM supplier
+          UNION ALL SELECT 'part', 'p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double', count(*) FROM part
+          UNION ALL SELECT 'embeddings', 'vec_id bigint, embedding array<float>, label int', count(*) FROM embeddings
+          UNION ALL SELECT 'documents', 'doc_id bigint, text string, lang string, source string, n_chars bigint', count(*) FROM documents
+          UNION ALL SELECT 'labels', 'doc_id bigint, quality int, toxic int', count(*) FROM labels
+          UNION ALL SELECT 'pages', 'page_id bigint, url string, html string', count(*) FROM pages
+          UNION ALL SELECT 'benchmark', 'item_id bigint, text string', count(*) FROM benchmark
+          UNION ALL SELECT 'conversations', 'conv_id bigint, turn bigint, role string, text string', count(*) FROM conversations""")
 def catalog_listing(t, spark, sf):
-    return catalog_tables(spark, sf, ["region", "nation"])
+    return catalog_tables(spark, sf, ["region", "nation", "customer", "supplier", "part", "embeddings", "documents", "labels", "pages", "benchmark", "conversations"])
 
 
 # ---- comparisons and predicates ----
@@ -400,9 +409,9 @@ def order_desc(t, spark, sf):
     return R.order_by(t("part").select("p_partkey", "p_retailprice"), ("p_retailprice", "desc"), "p_partkey")
 
 
-@query(f"SELECT c_custkey, o_orderkey FROM customer LEFT JOIN {_SOME_ORDERS} o ON c_custkey = o_custkey ORDER BY o_orderkey DESC NULLS LAST, c_custkey LIMIT 40")
+@query(f"SELECT c_custkey, o_orderkey FROM customer LEFT JOIN {_SOME_ORDERS} o ON c_custkey = o_custkey ORDER BY o_orderkey DESC NULLS LAST, c_custkey")
 def order_nulls(t, spark, sf):
-    return R.limit(R.order_by(_customers_and_some_orders(t).select("c_custkey", "o_orderkey"), ("o_orderkey", "desc"), "c_custkey"), 40)
+    return R.order_by(_customers_and_some_orders(t).select("c_custkey", "o_orderkey"), ("o_orderkey", "desc"), "c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 17")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import brindle.plans.sessions  # noqa: F401  registers its queries
 from brindle.plans.catalogue import ORACLES, QUERIES
 
 
