@@ -58,14 +58,24 @@ def _cell_counts(cells: int):
 
 
 def _merged(least: int):
-    def run(pdf):
-        import pandas as pd
+    """The bits of each segment, from parts of segments that are sorted by it."""
 
-        n = np.zeros(1 << _SEGMENT, np.int32)
-        for once, more in zip(pdf["once"], pdf["more"], strict=True):
-            n[np.frombuffer(once, "<u2")] += 1
-            n[np.frombuffer(more, "<u2")] += 2
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [np.packbits(n >= least).tobytes()]})
+    def run(batches):
+        n, now = np.zeros(1 << _SEGMENT, np.int32), None
+
+        def done():
+            return pa.RecordBatch.from_pydict({"segment": [now], "bits": [np.packbits(n >= least).tobytes()]})
+
+        for b in batches:
+            for segment, once, more in zip(*(b.column(c).to_pylist() for c in ("segment", "once", "more")), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield done()
+                    n[:], now = 0, segment
+                n[np.frombuffer(once, "<u2")] += 1
+                n[np.frombuffer(more, "<u2")] += 2
+        if now is not None:
+            yield done()
 
     return run
 
@@ -74,8 +84,9 @@ def bloom_filter(digests: DataFrame, rows: int, least: int = 1) -> tuple[np.ndar
     """Bits of the filter over a table with a column sha of about ``rows`` rows, and the number of its cells."""
     cells = min(MAX_CELLS, 1 << max(_SEGMENT, int(np.ceil(np.log2(max(1, CELLS * rows))))))
     parts = map_arrow(digests.select("sha"), _cell_counts(cells), "segment long, once binary, more binary")
+    merged = map_arrow(parts.repartition("segment").sortWithinPartitions("segment"), _merged(least), "segment long, bits binary")
     bits = np.zeros((cells >> _SEGMENT, 1 << (_SEGMENT - 3)), np.uint8)
-    for row in parts.groupBy("segment").applyInPandas(_merged(least), "segment long, bits binary").collect():
+    for row in merged.collect():
         bits[row.segment] = np.frombuffer(row.bits, np.uint8)
     return bits.ravel(), cells
 

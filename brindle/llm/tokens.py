@@ -12,6 +12,7 @@ ids. Pieces of letters alone are one pre-token: the library's model merges their
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 
@@ -23,6 +24,8 @@ _SIGN[[b for b in range(33, 127) if not _WORD[b] and b != 39]] = True  # 39: "'s
 #: First bytes of characters that may be white space beyond ASCII.
 _ODD = np.zeros(256, bool)
 _ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = True
 _SOLID[128:] = True
@@ -67,7 +70,8 @@ class SpanMemory:
     """Remembers the ids of byte spans met before; ``limit`` bounds how many, TEXT_MOST their bytes.
 
     Spans are found by their hashes and then compared byte by byte: one that only has the hash of
-    another is encoded anew. A subclass has ``ids_of_all(list of bytes) -> list of lists of ids``.
+    another is encoded anew. A subclass has ``ids_of_all(bytes of spans end to end, n + 1 offsets)``, which
+    gives a list of lists of ids.
     """
 
     TEXT_MOST = 1 << 25
@@ -89,11 +93,11 @@ class SpanMemory:
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spans end to end and how many each has, from the library."""
-        raw = data.tobytes() if len(starts) > 1000 else None
-        spans = zip(starts.tolist(), ends.tolist(), strict=True)
-        new = self.ids_of_all([raw[s:e] if raw is not None else data[s:e].tobytes() for s, e in spans])
+        lengths = ends - starts
+        over = np.cumsum(lengths)
+        new = self.ids_of_all(_joined(data, starts, lengths), np.concatenate([[0], over]))
         counts = np.fromiter(map(len, new), np.int64, len(new))
-        return np.fromiter((i for ids in new for i in ids), np.uint32, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(new), np.uint32, int(counts.sum())), counts
 
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         ids, counts = self._encoded(data, starts, ends)
@@ -167,15 +171,24 @@ class UnitEncoder(SpanMemory):
         self.merge = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
 
-    def _ids_of(self, unit: bytes) -> list[int]:
-        text = unit.decode()
-        if (text[1:] if text[0] == " " else text).isalpha():
-            signs = "\u0120" + text[1:] if text[0] == " " and text.isascii() else unit.decode("latin-1").translate(self.signs)
-            return [x.id for x in self.merge(signs)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def ids_of_all(self, units: list[bytes]) -> list[list[int]]:
-        return list(map(self._ids_of, units))
+    def ids_of_all(self, data: np.ndarray, at: np.ndarray) -> list[list[int]]:
+        # A blank and letters, or letters alone: the vocabulary's signs of their bytes can be merged as they are.
+        body = at[:-1] + (data[at[:-1]] == 32)
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        plain = (letters[at[1:]] - letters[body] == at[1:] - body) & (body < at[1:])
+        raw, merge = data.tobytes(), self.merge
+        signs = raw.decode("latin-1").translate(self.signs)
+        out = []
+        for s, e, easy in zip(at[:-1].tolist(), at[1:].tolist(), plain.tolist(), strict=True):
+            if easy:
+                out.append([x.id for x in merge(signs[s:e])])
+                continue
+            text = raw[s:e].decode()
+            if (text[1:] if text[0] == " " else text).isalpha():
+                out.append([x.id for x in merge(signs[s:e])])
+            else:
+                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return out
 
     def _marked(self, data: np.ndarray, at: np.ndarray) -> list[int]:
         """Texts that hold the string of a special token."""
@@ -221,8 +234,9 @@ class PieceEncoder(SpanMemory):
         texts = [self.pieces.id_to_piece(i).replace("\u2581", "") for i in range(self.pieces.vocab_size())]
         self.is_sign = np.array([bool(x) and not any(c.isalnum() for c in x) for x in texts], bool) & ~self.is_byte
 
-    def ids_of_all(self, words: list[bytes]) -> list[list[int]]:
-        return self.pieces.encode([x.decode() for x in words], num_threads=1)
+    def ids_of_all(self, data: np.ndarray, at: np.ndarray) -> list[list[int]]:
+        raw = data.tobytes()
+        return self.pieces.encode([raw[s:e].decode() for s, e in pairwise(at.tolist())], num_threads=1)
 
 
 @lru_cache(maxsize=1)
