@@ -158,11 +158,10 @@ def _count_ids(kind: str):
     def run(batches):
         n = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                got = np.bincount(np.frombuffer(x, kind))
-                if len(got) > len(n):
-                    n = np.concatenate([n, np.zeros(len(got) - len(n), np.int64)])
-                n[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind))
+            if len(got) > len(n):
+                n = np.concatenate([n, np.zeros(len(got) - len(n), np.int64)])
+            n[: len(got)] += got
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["id", "n"])
 
@@ -172,7 +171,7 @@ def _count_ids(kind: str):
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text (a null counts as empty), appends end_id, and writes the ids under path in ascending order of id.
 
-    Null ids come first; rows with equal ids stand in any order beside each other. An empty table
+    Whole texts are encoded, however long. Null ids come first; rows with equal ids stand in any order beside each other. An empty table
     gives an empty codebook and no blocks. Other columns are not read. What comes to the driver is
     a count for each id of the vocabulary.
     """
@@ -213,7 +212,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col:
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """One row for each document written: id, start (ids of all documents before it), n_tokens, ids_crc32, and its ids."""
+    """One row for each document written: id, start (ids of all documents before it), n_tokens, ids_crc32, and its ids; no rows where none were written."""
     (row,) = spark.read.parquet(f"{path}/codebook").collect()
     spread = spark.sparkContext.broadcast((np.frombuffer(bytes(row.ids), "<u4"), np.frombuffer(bytes(row.lengths), np.uint8)))
     blocks = spark.read.parquet(f"{path}/blocks")

@@ -347,7 +347,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, n_shingles and component_id (the smallest id reachable by links) for each row of df.
 
     A-Z are lower-cased; words are runs without ASCII white space; a set holds the distinct shingles
-    of SHINGLE words, a shorter text its whole sequence. Two rows are linked when their sets'
+    of SHINGLE words, a shorter text its whole sequence. Whole texts are read, however long. Two rows are linked when their sets'
     similarity is 0.75 or more. A null or empty text, or one without words, has an empty set and is
     linked with nothing: its component_id is its own id. Null ids don't serve as component_id unless
     a component has no others. Repeated rows each have a row. An empty table gives an empty result.
@@ -360,8 +360,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def near_duplicate_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """The rows of df that stay, with all their columns: of each component the one with the smallest id.
 
-    A null id comes after all others. Rows without words all stay. Rows equal in id and text are one
-    document and stay, or go, together.
+    A null id comes after all others. Rows without words (null, empty or blank texts) all stay. Rows equal in
+    id and text are one document and stay, or go, together. Whole texts are compared, however long. An
+    empty table gives no rows. Columns of any name are carried along.
     """
     named = stored(_labelled(_salted(df, id_col, text_col), chunk_tokens), "labelled")
     rows = named.where(F.col("root").isNotNull())

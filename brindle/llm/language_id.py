@@ -98,8 +98,9 @@ def predict_language(df: DataFrame, profiles: dict[str, list[int]], id_col: str
 
     lang_pred is `und`, with a score of 0, where the text is null or has no letter or there are no
     profiles; ties go to the language that comes first by code point. score is one minus the mean
-    distance as a share of the largest possible. The whole text is read; repeated rows each have a
-    row; other columns than id and text are not read.
+    distance as a share of the largest possible. The whole text is read, however long; a null
+    id is held out and carried along; repeated rows each have a row; an empty table gives no rows; other
+    columns than id and text are not read.
     """
     schema = T.StructType([field(df, id_col), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     langs = sorted(profiles)

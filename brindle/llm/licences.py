@@ -228,7 +228,8 @@ FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")]
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id, n_blocks (candidates), found (array of confirmed licenses), license (the first, or null).
 
-    A null, empty or license-free text has an empty array; the whole text is searched; repeated rows
+    A null, empty or license-free text has an empty array; the whole text is searched, however long; of
+    wordings that fit one place equally well the longest is told, then the first by name; repeated rows
     each have a row; a null id is carried along; an empty table gives an empty result. Other columns
     are not read.
     """

@@ -168,7 +168,7 @@ MEASURES = ("chars_per_token", "byte_share", "entropy_share", "sign_share")
 def quality_rules(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict = BANDS, carry: bool = False) -> DataFrame:
     """One row for each row of df: id, the base counts, base_failed, kept, n_tokens and the measures.
 
-    A null text has no words and fails. Bands are chosen by lang_col (if there is such a column and
+    A null text has no words and fails; whole texts are measured, however long. Null ids are carried along. Bands are chosen by lang_col (if there is such a column and
     its value has bands), else by script. Repeated rows are judged alike; an empty table gives an
     empty result. With carry, the rows of df that are kept come back instead, all columns unchanged.
     """
