@@ -1,41 +1,42 @@
-"""A shell: python -m brindle ROOT reads statements, a line or up to a semicolon each, and prints their rows."""
+"""python -m brindle ROOT           a shell: statements, a line or up to a semicolon each
+python -m brindle serve ROOT PATH  a server on a Unix socket at PATH
+python -m brindle connect PATH     a client of that server
+python -m brindle log ROOT         the versions of the store, and what changed in each
+"""
 
 from __future__ import annotations
 
 import sys
 
 from brindle.session import create_session
-from brindle.sql.engine import Engine
-from brindle.sql.errors import EngineError
-
-
-def loop(connection, lines, out, style: str = "table") -> None:
-    """Runs each statement of lines; a fault is printed and doesn't end the loop."""
-    held = ""
-    for line in lines:
-        held += line
-        text = held.strip()
-        if not text:
-            held = ""
-        elif text in ("\\q", "quit", "exit"):
+from brindle.shell import loop, print_log
+
+
+def main(arguments: list[str], lines=sys.stdin, out=sys.stdout) -> None:
+    from brindle import serving
+    from brindle.sources.snapshots import Store
+    from brindle.sql.engine import Engine
+
+    match arguments:
+        case ["connect", path]:
+            serving.client(path, lines, out)
             return
-        elif text.startswith("\\") or text.endswith(";"):
-            held = ""
-            try:
-                for result in connection.execute(text):
-                    print(result.text(style) or result.tag, file=out)
-            except EngineError as e:
-                print(f"Error: {e}", file=out)
-
-
-def main() -> None:
-    if len(sys.argv) != 2:
-        sys.exit(__doc__)
+        case ["serve", _, _] | ["log", _] | [_]:
+            pass
+        case _:
+            sys.exit(__doc__)
     spark = create_session("brindle shell")
     spark.sparkContext.setLogLevel("ERROR")
-    loop(Engine(spark, sys.argv[1]).connect(), sys.stdin, sys.stdout)
-    spark.stop()
+    match arguments:
+        case ["serve", root, path]:
+            with serving.server(Engine(spark, root), path) as server:
+                print(f"listening at {path}", file=out, flush=True)
+                server.serve_forever()
+        case ["log", root]:
+            print_log(Store(spark, root), out)
+        case [root]:
+            loop(Engine(spark, root).connect(), lines, out)
 
 
 if __name__ == "__main__":
-    main()
+    main(sys.argv[1:])

@@ -123,6 +123,10 @@ class Store:
                     raise
         raise EngineError("too many writers at once")
 
+    def history(self) -> list[tuple[int, dict]]:
+        """The versions that are kept, with their states, the oldest first."""
+        return [(v, json.loads(self.files.read(self._file(v)))) for v in self._versions()]
+
     def publish(self, change: Callable[[dict], None], tries: int = 50) -> dict:
         """Applies change to the latest state and writes the outcome as the next; again if another writer was first."""
         for _ in range(tries):
@@ -187,12 +191,10 @@ class Store:
         A transaction of another process that still reads a past state fails from then on; folders it
         has written and not committed are left alone.
         """
-        *past, last = self._versions()
-        before: set[str] = set()
-        for v in past:
-            before |= self._named(json.loads(self.files.read(self._file(v))))
-        now = self._named(json.loads(self.files.read(self._file(last))))
-        for v in past:
+        *past, (_, last) = self.history()
+        before = {p for _, state in past for p in self._named(state)}
+        now = self._named(last)
+        for v, _ in past:
             self.files.delete(self._file(v))
         prefix = f"{self.root}/data/"
         old = {prefix + name for name, age in self.files.ages(prefix).items() if age > self.ORPHAN_SECONDS}
