@@ -62,14 +62,15 @@ def learn_profiles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The profile of each language, from rows with a language that are not held out.
 
     Of each language about train_rows of those rows are read, chosen by a hash of id and text, whatever
-    the size of df and the share of the language in it; all if there are fewer. The profiles (PROFILE
+    the size of df and the share of the language in it; all if there are fewer. Rows equal in id and text are chosen,
+    and count, together; their counts are summed before they are shuffled. The profiles (PROFILE
     n-grams for each language) come to the driver.
     """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 0))
     rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > train_rows)
     share = F.coalesce(F.lit(float(train_rows)) / F.col("rows"), F.lit(1.0))
-    chosen = rows.join(F.broadcast(sizes), "lang", "left").where(F.pmod(F.col("hash"), F.lit(1_000_000)) < F.floor(share * 1_000_000) + 1)
+    chosen = rows.join(F.broadcast(sizes), "lang", "left").where(F.col("hash").bitwiseAND(F.lit((1 << 63) - 1)) <= share * float(1 << 63))
 
     def count(batches):
         held: dict[str, list] = {}

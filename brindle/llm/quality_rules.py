@@ -2,13 +2,18 @@
 
 A text's fertility is measured over its words with a sentencepiece vocabulary that falls back to
 bytes: characters per token, the share of tokens that are single bytes, the entropy of the tokens as
-a share of what as many tokens could have, and the share of tokens without a letter or digit. Each language (or, for languages without bands
-of their own, each script) has bands that a text must lie in; texts far outside are written in no
-known way, stuffed with signs, or say the same over and over.
+a share of what as many tokens could have, and the share of tokens without a letter or digit. Each
+language (or, for languages without bands of their own, each script) has bands that a text must lie in;
+texts far outside are written in no known way, stuffed with signs, or say the same over and over. Of
+scripts of which that vocabulary knows single letters at most, a second one, a byte-level BPE for many languages, measures
+characters per token, and the share of tokens that are parts of characters, as well.
 """
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +50,11 @@ BANDS = {
     # Scripts of which the vocabulary may know no letter: all bytes says nothing of them.
     "other": (0.2, 8.0, 1.00, 0.30, 0.30),
 }
+#: For a script, by the second vocabulary: least characters per token, most share of tokens that are parts of characters.
+SECOND_BANDS = {
+    "han": (0.6, 0.65), "hangul": (0.6, 0.75), "arabic": (0.95, 0.2), "greek": (0.85, 0.45), "armenian": (0.55, 0.88),
+    "devanagari": (0.55, 0.85), "tamil": (0.7, 0.55), "thai": (0.7, 0.45),
+}
 #: Scripts besides latin and cyrillic by their letters' first bytes, and, after 0xE0, by the second (kana go with han).
 _FIRST = {"greek": (0xCE, 0xD0), "armenian": (0xD4, 0xD7), "hebrew": (0xD7, 0xD8), "arabic": (0xD8, 0xDC), "han": (0xE3, 0xEA), "hangul": (0xEB, 0xEE)}
 _SECOND = {"devanagari": (0xA4, 0xA6), "bengali": (0xA6, 0xA8), "tamil": (0xAE, 0xB0), "thai": (0xB8, 0xBA)}
@@ -161,13 +171,42 @@ def verdict(measures: dict[str, np.ndarray], bands: np.ndarray) -> np.ndarray:
     return (chars >= low) & (chars <= high) & (measures["byte_share"] <= most_bytes) & (measures["entropy_share"] >= least_entropy) & (measures["sign_share"] <= most_signs)
 
 
+@lru_cache(maxsize=1)
+def _second(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+    def part(token: bytes) -> bool:
+        try:
+            token.decode()
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    parts = frozenset(rank for token, rank in ranks.items() if part(token))
+    return tiktoken.Encoding("second", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), parts
+
+
+def second_fertility(text: str, path: str) -> tuple[float, float]:
+    """Characters that are no white space per token, and the share of tokens that are parts of characters, by a tiktoken vocabulary."""
+    encoding, parts = _second(path)
+    ids = encoding.encode_ordinary(text)
+    return sum(map(len, text.split())) / max(1, len(ids)), sum(i in parts for i in ids) / max(1, len(ids))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("chars_per_token", "byte_share", "entropy_share", "sign_share")
 
 
-def quality_rules(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict = BANDS, carry: bool = False) -> DataFrame:
+def quality_rules(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict = BANDS, carry: bool = False, second: str | None = None) -> DataFrame:
     """One row for each row of df: id, the base counts, base_failed, kept, n_tokens and the measures.
 
+    second is the path of a tiktoken vocabulary that measures texts judged by a script of SECOND_BANDS too;
+    second_chars and second_parts are null for all others, and without it.
+
     A null text has no words and fails; whole texts are measured, however long. Null ids are carried along. Bands are chosen by lang_col (if there is such a column and
     its value has bands), else by script. Repeated rows are judged alike; an empty table gives an
     empty result. With carry, the rows of df that are kept come back instead, all columns unchanged.
@@ -175,7 +214,7 @@ def quality_rules(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     lang_col = lang_col if lang_col in df.columns else None
     longs = [T.StructField(c, T.LongType()) for c in COUNTS]
     flags = [T.StructField(c, T.BooleanType()) for c in ("base_failed", "kept")]
-    schema = T.StructType([field(df, id_col), *longs, *flags, T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in MEASURES)])
+    schema = T.StructType([field(df, id_col), *longs, *flags, T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in (*MEASURES, "second_chars", "second_parts"))])
 
     def run(batches):
         for b in batches:
@@ -186,13 +225,18 @@ def quality_rules(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
             measures = fertility(data, at, spans, vocabulary, counts["word_chars"])
             langs = b.column(lang_col).to_pylist() if lang_col else [None] * b.num_rows
-            chosen = np.array([bands[x] if x in bands else bands.get(s, bands["other"]) for x, s in zip(langs, script_of(data, at), strict=True)], float).reshape(-1, 5)
-            kept = ~failed & verdict(measures, chosen)
+            judged = [x if x in bands else s if s in bands else "other" for x, s in zip(langs, script_of(data, at), strict=True)]
+            kept = ~failed & verdict(measures, np.array([bands[x] for x in judged], float).reshape(-1, 5))
+            twice: list = [None] * b.num_rows
+            for i, x in enumerate(judged):
+                if second and x in SECOND_BANDS:
+                    twice[i] = second_fertility(data[at[i] : at[i + 1]].tobytes().decode(), second)
+                    kept[i] &= twice[i][0] >= SECOND_BANDS[x][0] and twice[i][1] <= SECOND_BANDS[x][1]
             if carry:
                 yield b.filter(pa.array(kept))
                 continue
             columns = [pa.array(counts[c].astype(np.int64)) for c in COUNTS]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), *columns, pa.array(failed), pa.array(kept), pa.array(measures["n_tokens"].astype(np.int64)), *(pa.array(measures[c].astype(float)) for c in MEASURES)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), *columns, pa.array(failed), pa.array(kept), pa.array(measures["n_tokens"].astype(np.int64)), *(pa.array(measures[c].astype(float)) for c in MEASURES), *(pa.array([x and x[k] for x in twice], pa.float64()) for k in (0, 1))], names=schema.names)
 
     if carry:
         return map_arrow(df, run, df.schema)

@@ -20,7 +20,7 @@ def op2_nnls_packing(spark, sf_dir):
 def op3_tokeniser_fertility(spark, sf_dir):
     from brindle.llm.quality_rules import quality_rules
 
-    return quality_rules(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return quality_rules(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), second=vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op4_source_mixing(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Base counts against plain Python, and verdicts of clean and spoiled texts."""
 
+import base64
 import math
 import random
 import re
@@ -7,18 +8,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 import sentencepiece
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brindle.llm.common import documents, vocabulary
-from brindle.llm.quality_rules import BANDS, COUNTS, base_counts, fertility, quality_rules, script_of, verdict
+from brindle.llm.quality_rules import BANDS, COUNTS, SECOND_BANDS, base_counts, fertility, quality_rules, script_of, second_fertility, verdict
 from brindle.llm.spans import texts_of, word_spans
 from tests.conftest import DATA
 from tests.llm.cases import SCHEMA, frame, tables, words
 
-VOCABULARY = vocabulary("piece_bpe_32k.model")
+VOCABULARY, SECOND = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")
 
 
 def brute(text):
@@ -78,20 +81,22 @@ def test_scrambled_text_of_other_scripts_fails(spark):
     assert not any(x.base_failed or x.kept for x in got)
 
 
+PROSE = {
+    "han": ["春天的早晨,老城的钟声刚刚响起,她提着满满一篮面包走上山坡,心里想着家里是否有人还记得今天是什么日子。街道两旁的商店陆续开门。", "春天的早晨,老城的鐘聲剛剛響起,她提著滿滿一籃麵包走上山坡,心裡想著家裡是否有人還記得今天是什麼日子。臺灣的夜市非常熱鬧,遊客絡繹不絕。", "春の朝、古い町の鐘が鳴り始めたころ、彼女はパンでいっぱいの籠を持って坂を上ってきた。家の誰かが今日が何の日か覚えているだろうか。"],
+    "hangul": ["봄날 아침 오래된 마을의 종이 막 울리기 시작했을 때 그녀는 빵이 가득한 바구니를 들고 언덕을 올라왔다. 집에 있는 누군가가 오늘이 무슨 날인지 기억할지 궁금했다."],
+    "arabic": ["في صباح ربيعي بارد بدأت أجراس المدينة القديمة تدق عندما صعدت التل وسلتها مليئة بالخبز وهي تتساءل هل يتذكر أحد في البيت أي يوم هو هذا اليوم."],
+    "hebrew": ["בבוקר אביבי קר החלו פעמוני העיר העתיקה לצלצל כאשר היא עלתה במעלה הגבעה עם סל מלא בלחם ותהתה אם מישהו בבית יזכור איזה יום היום."],
+    "greek": ["Ένα κρύο ανοιξιάτικο πρωινό οι καμπάνες της παλιάς πόλης μόλις άρχισαν να χτυπούν όταν εκείνη ανέβηκε τον λόφο με το καλάθι της γεμάτο ψωμί."],
+    "armenian": ["Գարնանային ցուրտ առավոտյան հին քաղաքի զանգերը նոր էին սկսել հնչել, երբ նա հացով լի զամբյուղով բարձրացավ բլուրը։"],
+    "devanagari": ["वसंत की एक ठंडी सुबह पुराने शहर की घंटियाँ बजने लगी थीं जब वह रोटियों से भरी टोकरी लेकर पहाड़ी पर चढ़ी और सोच रही थी कि क्या घर में किसी को याद होगा।"],
+    "bengali": ["বসন্তের এক ঠান্ডা সকালে পুরানো শহরের ঘণ্টা বাজতে শুরু করেছিল যখন সে রুটি ভরা ঝুড়ি নিয়ে পাহাড়ে উঠে এল।"],
+    "tamil": ["வசந்த கால காலையில் பழைய நகரத்தின் மணிகள் ஒலிக்கத் தொடங்கின, அவள் ரொட்டி நிறைந்த கூடையுடன் மலையின் மேல் ஏறி வந்தாள்."],
+    "thai": ["ในเช้าวันหนึ่งของฤดูใบไม้ผลิ ระฆังของเมืองเก่าเพิ่งเริ่มดังขึ้น เมื่อเธอเดินขึ้นเนินเขาพร้อมตะกร้าที่เต็มไปด้วยขนมปัง"],
+}
+
+
 def test_prose_of_other_scripts_stays_within_its_bands():
-    prose = {
-        "han": ["春天的早晨,老城的钟声刚刚响起,她提着满满一篮面包走上山坡,心里想着家里是否有人还记得今天是什么日子。街道两旁的商店陆续开门。", "春天的早晨,老城的鐘聲剛剛響起,她提著滿滿一籃麵包走上山坡,心裡想著家裡是否有人還記得今天是什麼日子。臺灣的夜市非常熱鬧,遊客絡繹不絕。", "春の朝、古い町の鐘が鳴り始めたころ、彼女はパンでいっぱいの籠を持って坂を上ってきた。家の誰かが今日が何の日か覚えているだろうか。"],
-        "hangul": ["봄날 아침 오래된 마을의 종이 막 울리기 시작했을 때 그녀는 빵이 가득한 바구니를 들고 언덕을 올라왔다. 집에 있는 누군가가 오늘이 무슨 날인지 기억할지 궁금했다."],
-        "arabic": ["في صباح ربيعي بارد بدأت أجراس المدينة القديمة تدق عندما صعدت التل وسلتها مليئة بالخبز وهي تتساءل هل يتذكر أحد في البيت أي يوم هو هذا اليوم."],
-        "hebrew": ["בבוקר אביבי קר החלו פעמוני העיר העתיקה לצלצל כאשר היא עלתה במעלה הגבעה עם סל מלא בלחם ותהתה אם מישהו בבית יזכור איזה יום היום."],
-        "greek": ["Ένα κρύο ανοιξιάτικο πρωινό οι καμπάνες της παλιάς πόλης μόλις άρχισαν να χτυπούν όταν εκείνη ανέβηκε τον λόφο με το καλάθι της γεμάτο ψωμί."],
-        "armenian": ["Գարնանային ցուրտ առավոտյան հին քաղաքի զանգերը նոր էին սկսել հնչել, երբ նա հացով լի զամբյուղով բարձրացավ բլուրը։"],
-        "devanagari": ["वसंत की एक ठंडी सुबह पुराने शहर की घंटियाँ बजने लगी थीं जब वह रोटियों से भरी टोकरी लेकर पहाड़ी पर चढ़ी और सोच रही थी कि क्या घर में किसी को याद होगा।"],
-        "bengali": ["বসন্তের এক ঠান্ডা সকালে পুরানো শহরের ঘণ্টা বাজতে শুরু করেছিল যখন সে রুটি ভরা ঝুড়ি নিয়ে পাহাড়ে উঠে এল।"],
-        "tamil": ["வசந்த கால காலையில் பழைய நகரத்தின் மணிகள் ஒலிக்கத் தொடங்கின, அவள் ரொட்டி நிறைந்த கூடையுடன் மலையின் மேல் ஏறி வந்தாள்."],
-        "thai": ["ในเช้าวันหนึ่งของฤดูใบไม้ผลิ ระฆังของเมืองเก่าเพิ่งเริ่มดังขึ้น เมื่อเธอเดินขึ้นเนินเขาพร้อมตะกร้าที่เต็มไปด้วยขนมปัง"],
-    }
-    names, texts = zip(*((k, x) for k, xs in prose.items() for x in xs), strict=True)
+    names, texts = zip(*((k, x) for k, xs in PROSE.items() for x in xs), strict=True)
     data, at = texts_of(pa.array(texts))
     spans = word_spans(data, at)
     measures = fertility(data, at, spans, VOCABULARY, base_counts(data, at, spans)["word_chars"])
@@ -141,3 +146,28 @@ def test_regular_lines_are_told_apart():
     text = f"{word}\n{other}\n{word}\n{other} {word}"
     counts = base_counts(*texts_of(pa.array([text])))
     assert tuple(int(counts[c][0]) for c in COUNTS) == brute(text) and counts["n_dup_lines"].tolist() == [1]
+
+
+def test_the_second_vocabulary(spark):
+    texts = [(k, x) for k, xs in PROSE.items() for x in xs] + [("latin", "plain words of prose"), ("georgian", "ზარებმა რეკვა დაიწყეს")]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(SECOND, "rb"))}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in quality_rules(frame(spark, [(i, x, None, "a", 1) for i, (_, x) in enumerate(texts)]), VOCABULARY, second=SECOND).collect()}
+    for i, (k, x) in enumerate(texts):
+        if k not in SECOND_BANDS:
+            assert got[i].second_chars is None and got[i].second_parts is None
+            continue
+        tokens = [plain.decode_single_token_bytes(t) for t in plain.encode_ordinary(x)]
+        parts = sum("\ufffd" in t.decode(errors="replace") and "\ufffd" not in x for t in tokens)
+        assert (got[i].second_chars, got[i].second_parts) == pytest.approx((len("".join(x.split())) / len(tokens), parts / len(tokens)))
+        least, most = SECOND_BANDS[k]
+        assert got[i].second_chars >= least and got[i].second_parts <= most, k  # prose lies within
+
+
+def test_the_second_vocabulary_rejects_random_letters(spark):
+    r = random.Random(6)
+    blocks = {"han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A3), "arabic": (0x621, 0x64A), "greek": (0x391, 0x3C9), "armenian": (0x561, 0x586), "devanagari": (0x905, 0x939), "tamil": (0xB85, 0xBB9), "thai": (0xE01, 0xE30)}
+    for k, (a, b) in blocks.items():
+        letters = [chr(c) for c in range(a, b + 1) if chr(c).isalpha()]
+        chars, parts = second_fertility(" ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(150)), SECOND)
+        assert chars < SECOND_BANDS[k][0] or parts > SECOND_BANDS[k][1], k
