@@ -6,11 +6,12 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from brindle.llm.common import vocabulary
 from brindle.llm.huffman import Codebook, code_lengths, ids_round_trip, pack_block, read_ids, unpack_block, write_ids
-from brindle.llm.tokens import unit_encoder
-from tests.llm.cases import tables
+from tests.llm.cases import frame, tables, words
+from tests.llm.test_spans_tokens import thue_morse
 
 
 @given(st.lists(st.integers(1, 10_000), min_size=2, max_size=60))
@@ -41,14 +42,16 @@ def test_blocks(docs):
 
 
 def test_round_trip(spark, tmp_path):
-    encoder = unit_encoder(vocabulary())
-    for k, (df, rows) in enumerate(tables(spark)):
+    library = Tokenizer.from_file(vocabulary())  # as the file gives it
+    long, other = thue_morse(10)
+    more = [(100, "a <|endoftext|> b", "en", "a", 1), (101, f"{long} {other}", "en", "a", 1), (102, other, "en", "a", 1), (103, words(9, 25_000), "en", "a", 1)]
+    for k, (df, rows) in enumerate([(frame(spark, more), more), *tables(spark)]):
         path = f"file://{tmp_path}/{k}"
         write_ids(df, path, vocabulary(), 2)
         got = sorted(read_ids(spark, path).collect(), key=lambda r: r.start)
         assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
         texts = {(i, x) for i, x, *_ in rows}
-        want = {i: [*encoder.one(x or "").tolist(), 2] for i, x in texts}
+        want = {i: [*library.encode(x or "", add_special_tokens=False).ids, 2] for i, x in texts}
         over = 0
         for r in got:
             assert r.ids == want[r.doc_id] and r.n_tokens == len(r.ids) and r.start == over

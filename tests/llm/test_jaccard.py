@@ -12,6 +12,7 @@ from brindle.llm.components import components
 from brindle.llm.jaccard import near_duplicate_rows, near_duplicates
 from brindle.llm.signature_tree import Groups, bitmap, folded, similar_groups, width_of
 from tests.llm.cases import SCHEMA, collected, frame, tables, words
+from tests.llm.test_spans_tokens import thue_morse
 
 
 def shingles(text):
@@ -156,3 +157,16 @@ def test_hot_copies(spark):
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).groupBy("component_id").count().where("count > 1").collect()
     assert [tuple(r) for r in got] == [(1, 2000)]
     assert frame(spark).count() == 16
+
+
+def test_regular_words_are_told_apart(spark):
+    long, other = thue_morse(10)
+    rows = [(1, f"{long} a b c d", "en", "a", 1), (2, f"{other} a b c d", "en", "a", 1), (3, f"{long} {other}", "en", "a", 1), (4, f"{other} {long}", "en", "a", 1), (5, f"{long} A B c d", "en", "a", 1)]
+    got = collected(near_duplicates(frame(spark, rows)))
+    assert got == brute(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 1, 1)]
+
+
+def test_long_texts(spark):
+    long = words(3, 60_000, 10**6)
+    rows = [(1, long, "en", "a", 1), (2, long[: len(long) * 4 // 5], "en", "a", 1), (3, long[: len(long) // 2], "en", "a", 1), (4, "x " * 50_000, "en", "a", 1)]
+    assert collected(near_duplicates(frame(spark, rows))) == brute(rows)

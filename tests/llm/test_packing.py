@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from brindle.llm.common import vocabulary
 from brindle.llm.packing import TOLERANCE, chosen, combinations, pack, pack_rests, rounded, solve_counts
-from brindle.llm.tokens import unit_encoder
-from tests.llm.cases import tables
+from tests.llm.cases import frame, tables, words
+from tests.llm.test_spans_tokens import thue_morse
 
 
 def laid_out(rows, window):
@@ -114,12 +115,14 @@ def test_the_solution_decides(rests, share):
 
 @pytest.mark.parametrize("window", [16, 1024])
 def test_pieces(spark, window):
-    encoder = unit_encoder(vocabulary())
-    for df, rows in tables(spark):
+    library = Tokenizer.from_file(vocabulary())  # as the file gives it
+    long, other = thue_morse(10)
+    more = [(100, "a <|endoftext|> b", "en", "a", 1), (101, f"{long} {other}", "en", "a", 1), (102, other, "en", "a", 1), (103, words(9, 25_000), "en", "a", 1)]
+    for df, rows in [*tables(spark), (frame(spark, more), more)]:
         got = pack(df, vocabulary(), window, 0, with_ids=True).collect()
         sizes = laid_out([(r.sequence_id, r.offset, r.length) for r in got], window)
         assert all(n == window or n & (n - 1) == 0 for n in sizes)
-        want = sorted((str(i), [*encoder.one(x or "").tolist(), 0]) for i, x, *_ in rows)
+        want = sorted((str(i), [*library.encode(x or "", add_special_tokens=False).ids, 0]) for i, x, *_ in rows)
         docs = defaultdict(list)
         for r in got:
             assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
