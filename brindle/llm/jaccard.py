@@ -289,7 +289,7 @@ def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int, scratch: list
         return scratch[-1]
 
     of_blocks: list[DataFrame] = []
-    clusters = kept(components(_chains(classes, of_blocks)), "clusters")
+    clusters = kept(components(_chains(classes, of_blocks), of_blocks), "clusters")
     forget(*of_blocks)
     members = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(classes.select("cls", "n", "rep"), "cls")
     totals = kept(members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("weight")), "totals")
@@ -298,18 +298,18 @@ def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int, scratch: list
     members = kept(members.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks"))), "members")
     sets = _sets(docs, members, members.count()).withColumn("label", F.col("cls"))
     if totals.where(F.col("tokens") > chunk_tokens).isEmpty():
-        return components(_settled(sets.withColumn("part", _part("cluster", "chunk"))))
+        return components(_settled(sets.withColumn("part", _part("cluster", "chunk"))), scratch)
     sets = kept(sets, "sets")
     links = kept(_settled(sets.withColumn("part", _part("cluster", "chunk"))), "links1")
     large = sets.where("chunks > 1")
     # One class of each group found so far, dealt into as few parts as their sizes need.
-    inner = components(links)
+    inner = components(links, scratch)
     heads = large.join(inner.where("node != root").select(F.col("node").alias("cls")), "cls", "left_anti")
     few = kept(heads.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(chunk_tokens)).cast("long").alias("parts"), F.count(F.lit(1)).alias("weight")), "heads")
     heads = join_hot(heads, few, "cluster", "weight", classes.count()).withColumn("part", _part("cluster", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts"))))
     links = kept(links.unionByName(_settled(heads)), "links2")
     # Classes outside the cluster's largest group, against all others of the cluster.
-    now = components(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    now = components(links, scratch).select(F.col("node").alias("cls"), F.col("root").alias("label"))
     large = kept(large.drop("label").join(now, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "large")
     counts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     tops = counts.groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("tokens").alias("all"), F.sum("size").alias("weight"), F.max(F.struct("size", "label", "tokens"))["tokens"].alias("inside"))
@@ -318,7 +318,7 @@ def _links(docs: DataFrame, classes: DataFrame, chunk_tokens: int, scratch: list
     every = large.withColumn("side", F.explode(F.expr("sequence(0L, sides - 1)")))
     minor = large.where(F.col("label") != F.col("main")).withColumn("side", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("sides"))).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
     pairs = every.unionByName(minor).withColumn("part", _part("cluster", "chunk", "side"))
-    return components(links.unionByName(_settled(pairs)))
+    return components(links.unionByName(_settled(pairs)), scratch)
 
 
 def _labelled(docs: DataFrame, chunk_tokens: int) -> DataFrame:
