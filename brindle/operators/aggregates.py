@@ -26,12 +26,10 @@ def aggregate(df: DataFrame, keys: Sequence[Column | str], having: Column | None
 def analyze(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Exact row count and distinct non-null values: column_name, n_distinct, cardinality, one row for each column.
 
-    Values are counted column by column after they are made distinct in partial aggregations.
+    All columns are counted in one aggregation over values of their own types, made distinct before they are shuffled.
     """
     columns = list(columns or df.columns)
-    total = df.agg(count_star().alias("cardinality"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns)))
-    seen = df.select(pairs.alias("p")).select("p.*").distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
-    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column_name"))
-    counted = names.join(seen, "column_name", "left").select("column_name", F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"))
-    return counted.crossJoin(F.broadcast(total))  # total is one row
+    counts = [F.count_distinct(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    found = df.agg(count_star().alias("cardinality"), *counts)
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_distinct")) for i, c in enumerate(columns)))
+    return found.select(F.explode(pairs).alias("p"), "cardinality").select("p.*", "cardinality")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.sources.tables import values
 from brindle.sql.errors import EngineError
 
 KEYS, OLD = ("__seg", "__row"), ("__old_seg", "__old_row")
@@ -151,7 +152,7 @@ class Store:
         """Rows with their keys."""
         schema = T.StructType([*self.schema(table).fields, *(T.StructField(c, T.LongType()) for c in KEYS)])
         if not segments:
-            return self.spark.createDataFrame([], schema)
+            return values(self.spark, [], schema)
         self.folders_read += len(segments) + len(removed)
         rows = self.spark.read.schema(schema).parquet(*segments)
         if not removed:
@@ -161,7 +162,7 @@ class Store:
     def read_keys(self, folders: list[str]) -> DataFrame:
         schema = T.StructType([T.StructField(c, T.LongType()) for c in OLD])
         if not folders:
-            return self.spark.createDataFrame([], schema).toDF(*KEYS)
+            return values(self.spark, [], schema).toDF(*KEYS)
         return self.spark.read.schema(schema).parquet(*folders).toDF(*KEYS)
 
     def write(self, rows: DataFrame) -> tuple[str, int]:
