@@ -231,12 +231,12 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, counts of the base kinds, the SHA-256 of the base spans, and all spans as text, for each row of df.
+    """id, counts of the base kinds, the SHA-256 of the base spans, all spans as text, and how many they are, for each row of df.
 
     The spans are those of ``find_pii``, taken in the same pass over the texts. A null or empty text has
     counts of 0, the digest of nothing and an empty string; the rest is as in ``find_pii``.
     """
-    schema = T.StructType([field(df, id_col), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([field(df, id_col), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
 
     def run(batches):
         for b in batches:
@@ -244,6 +244,6 @@ def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             base = [[x for x in row if x[1] < len(BASE_KINDS)] for row in spans]
             columns = [pa.array([sum(x[1] == k for x in row) for row in base], pa.int64()) for k in range(len(BASE_KINDS))]
             shas = pa.array([hashlib.sha256(_joined(row).encode()).hexdigest() for row in base], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), *columns, shas, pa.array(map(_joined, spans), pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(id_col), *columns, shas, pa.array(map(_joined, spans), pa.string()), pa.array(map(len, spans), pa.int64())], names=schema.names)
 
     return map_arrow(df.select(id_col, text_col), run, schema)
