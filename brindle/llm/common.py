@@ -21,7 +21,8 @@ def session_of(df: DataFrame) -> SparkSession:
 def prepared(spark: SparkSession) -> SparkSession:
     """The session, with batches to Python of SENT_BYTES at most. For applications: operators leave settings alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > SENT_BYTES:
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > SENT_BYTES:
         spark.conf.set(key, str(SENT_BYTES))
     return spark
 

@@ -55,9 +55,13 @@ def test_settings_are_lowered_by_applications_only(spark):
         assert spark.conf.get(key) == "67108864"
         prepared(spark)
         assert spark.conf.get(key) == str(common.SENT_BYTES)
-        spark.conf.set(key, "1000")
+        for small in ("1000", "512k"):
+            spark.conf.set(key, small)
+            prepared(spark)
+            assert spark.conf.get(key) == small
+        spark.conf.set(key, "8m")
         prepared(spark)
-        assert spark.conf.get(key) == "1000"
+        assert spark.conf.get(key) == str(common.SENT_BYTES)
     finally:
         spark.conf.set(key, before.rstrip("b"))
 
