@@ -66,86 +66,124 @@ def _joined(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.repeat(begin - over + lengths, lengths) + np.arange(over[-1] if len(over) else 0)]
 
 
+#: What is left of the first eight bytes (little-endian) of a span of so many bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span: up to seven bytes are the key, with their number; longer spans have a hash."""
+    short = lengths <= 7
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n = np.minimum(lengths, 7)
+    out = eight[starts] & _MASKS[n] | n.astype(np.uint64) << np.uint64(56)
+    if not short.all():
+        sizes = lengths[~short]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out[~short] = span_hashes(_joined(data, starts[~short], sizes), ends - sizes, ends)
+    return out
+
+
 class SpanMemory:
-    """Remembers the ids of byte spans met before; ``limit`` bounds how many, TEXT_MOST their bytes.
+    """Remembers the ids of byte spans met before; ``limit`` bounds how many, TEXT_MOST the bytes of the longer ones.
 
-    Spans are found by their hashes and then compared byte by byte: one that only has the hash of
-    another is encoded anew. A subclass has ``ids_of_all(bytes of spans end to end, n + 1 offsets)``, which
-    gives a list of lists of ids.
+    Spans are found by their keys. Longer ones are then compared byte by byte: one that only has the
+    hash of another is encoded anew. When the memory is full, spans that were met in one batch only are
+    forgotten, and all of them if that doesn't help. A subclass has ``ids_of_all(bytes of spans end to
+    end, n + 1 offsets)``, which gives a list of lists of ids.
     """
 
-    TEXT_MOST = 1 << 25
+    TEXT_MOST = 1 << 24
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 400_000):
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes of the spans met, ascending
-        self.slot = np.zeros(0, np.int32)  # and where in begin and count each is
+        self.known = np.zeros(0, np.uint64)  # keys of the spans met, ascending
+        self.slot = np.zeros(0, np.int32)  # and where in begin, count and the like each is
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
-        self.begin, self.count, self.place, self.length = np.zeros((4, 1 << 14), np.int32)
+        #: Where the ids of a slot begin and how many they are; where its bytes are kept, and how many they are; batches it was met in.
+        self.begin, self.count, self.place, self.length, self.met = np.zeros((5, 1 << 14), np.int32)
+
+    def _shrink(self) -> None:
+        """Forgets what was met once."""
+        keep = self.met[self.slot] > 1
+        slots = self.slot[keep]
+        lengths, counts = self.length[slots].astype(np.int64), self.count[slots].astype(np.int64)
+        long = np.where(lengths > 7, lengths, 0)
+        if 2 * len(slots) > self.limit or 2 * long.sum() > self.TEXT_MOST:
+            self._clear()
+            return
+        known, flat, text = self.known[keep], _joined(self.flat, self.begin[slots], counts), _joined(self.text, self.place[slots], long)
+        self._clear()
+        self.known, self.slot = known, np.arange(len(slots), dtype=np.int32)
+        self.flat, self.used, self.text, self.text_used = flat, len(flat), text, len(text)
+        self.begin, self.count = (np.cumsum(counts) - counts).astype(np.int32), counts.astype(np.int32)
+        self.place, self.length, self.met = (np.cumsum(long) - long).astype(np.int32), lengths.astype(np.int32), np.zeros(len(slots), np.int32)
 
     @staticmethod
     def _room(array: np.ndarray, size: int) -> np.ndarray:
         return array if size <= len(array) else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
 
-    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spans end to end and how many each has, from the library."""
-        lengths = ends - starts
         over = np.cumsum(lengths)
         new = self.ids_of_all(_joined(data, starts, lengths), np.concatenate([[0], over]))
         counts = np.fromiter(map(len, new), np.int64, len(new))
         return np.fromiter(chain.from_iterable(new), np.uint32, int(counts.sum())), counts
 
-    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        ids, counts = self._encoded(data, starts, ends)
-        lengths = ends - starts
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        ids, counts = self._encoded(data, starts, lengths)
         k, n = len(self.known), len(starts)
         self.flat = self._room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
-        size = int(lengths.sum())
+        long = np.where(lengths > 7, lengths, 0)
+        size = int(long.sum())
         self.text = self._room(self.text, self.text_used + size)
-        self.text[self.text_used : self.text_used + size] = _joined(data, starts, lengths)
-        for name, values in (("begin", self.used + np.cumsum(counts) - counts), ("count", counts), ("place", self.text_used + np.cumsum(lengths) - lengths), ("length", lengths)):
+        self.text[self.text_used : self.text_used + size] = _joined(data, starts, long)
+        for name, values in (("begin", self.used + np.cumsum(counts) - counts), ("count", counts), ("place", self.text_used + np.cumsum(long) - long), ("length", lengths), ("met", 0)):
             array = self._room(getattr(self, name), k + n)
             array[k : k + n] = values
             setattr(self, name, array)
         self.used += len(ids)
         self.text_used += size
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
         self.slot = np.insert(self.slot, at, np.arange(k, k + n, dtype=np.int32))
 
     def _others(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Which spans are not the ones remembered under their hash."""
+        """Which spans are not the ones remembered under their key."""
         same = self.length[slots] == lengths
-        at = np.flatnonzero(same)
+        at = np.flatnonzero(same & (lengths > 7))
         differs = _joined(data, starts[at], lengths[at]) != _joined(self.text, self.place[slots[at]], lengths[at])
         if differs.any():
             same[np.repeat(at, lengths[at])[differs]] = False
         return np.flatnonzero(~same)
 
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the spans laid end to end, and n + 1 offsets."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        hashes = span_hashes(data, starts, ends) if hashes is None else hashes
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        lengths = ends - starts
+        unique, first, back = np.unique(span_keys(data, starts, lengths), return_index=True, return_inverse=True)
         if len(self.known) > self.limit or self.text_used > self.TEXT_MOST:
-            self._clear()
+            self._shrink()
         place = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
         there = place < len(self.known)
         new[there] = self.known[place[there]] != unique[there]
         if new.any():
-            self._learn(data, unique[new], starts[first[new]], ends[first[new]])
-        slots = self.slot[np.searchsorted(self.known, unique)][back]
+            self._learn(data, unique[new], starts[first[new]], lengths[first[new]])
+            place = np.searchsorted(self.known, unique)
+        slots = self.slot[place]
+        self.met[slots] += 1
+        slots = slots[back]
         flat, begin, counts = self.flat, self.begin[slots], self.count[slots]
-        odd = self._others(data, starts, ends - starts, slots)
+        odd = self._others(data, starts, lengths, slots)
         if len(odd):
-            extra, own = self._encoded(data, starts[odd], ends[odd])
+            extra, own = self._encoded(data, starts[odd], lengths[odd])
             begin[odd], counts[odd] = self.used + np.cumsum(own) - own, own
             flat = np.concatenate([flat[: self.used], extra])
         return _joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -158,7 +196,7 @@ class UnitEncoder(SpanMemory):
     in a text; a text with one goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__(limit)
@@ -224,7 +262,7 @@ class UnitEncoder(SpanMemory):
 class PieceEncoder(SpanMemory):
     """Ids of single words in a sentencepiece vocabulary."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import sentencepiece
 
         super().__init__(limit)

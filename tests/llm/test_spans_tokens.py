@@ -110,6 +110,23 @@ def test_texts_of_many_words(encoder, library):
     same_as(library, encoder, [words(5, 30_000), "é " * 40_000, "12 " * 25_000, "<|endoftext|>" + words(6, 25_000)])
 
 
+def test_keys_of_short_spans_are_the_spans():
+    texts = ["a", "a\0", "\0", "\0\0", "abcdefg", "abcdef", "abcdef\0", "abcdefgh", "é", "b", "c" * 300, "c" * 301]
+    data, at = texts_of(pa.array(texts))
+    keys = tokens.span_keys(data, at[:-1], np.diff(at))
+    assert len(set(keys.tolist())) == len(texts)
+    again, at = texts_of(pa.array(texts[::-1]))
+    assert tokens.span_keys(again, at[:-1], np.diff(at)).tolist() == keys.tolist()[::-1]
+
+
+@pytest.mark.parametrize("limit, text", [(20, 1 << 24), (60, 1 << 24), (10**6, 30), (10**6, 200)])
+def test_what_is_met_again_stays(library, monkeypatch, limit, text):
+    monkeypatch.setattr(UnitEncoder, "TEXT_MOST", text)
+    small = UnitEncoder(vocabulary(), limit=limit)
+    for k in range(12):
+        same_as(library, small, [f"the same words in every considerable batch {words(k, 9, 10**9)}", words(k % 3, 9, 10**9), "é, unbelievable 漢字"])
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     small = UnitEncoder(vocabulary(), limit=3)
     for x in ("one two three four five", "six seven eight", "one two three", "nine ten"):
@@ -122,7 +139,7 @@ def test_forgetting_changes_nothing(library, monkeypatch):
 def test_equal_hashes_are_told_apart(library, monkeypatch):
     monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
     small = UnitEncoder(vocabulary())
-    texts = ["one two three four", "five six, seven", "", "one two two three.", "ninety-nine"]
+    texts = ["one two three four", "five six, seven", "", "one two two three.", "ninety-nine", "extraordinary international", "an internationally extraordinarily", "\0\0a a\0 a", "é" * 9]
     same_as(library, small, texts)
     same_as(library, small, texts[::-1])
 
