@@ -132,7 +132,10 @@ def unpack_block(book: Codebook, block: bytes) -> list[np.ndarray]:
 
 
 def _tokenised(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, file, at (ids before it in its file), ids as bytes; files in ascending order of id."""
+    """id, file, at (ids before it in its file), ids as bytes; files in ascending order of id.
+
+    A row of file -1 ends each partition: it holds the partition's counts, as pairs of id and number (unsigned 64 bits).
+    """
     schema = T.StructType([field(df, id_col), T.StructField("file", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
@@ -141,31 +144,30 @@ def _tokenised(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
         encoder = unit_encoder(tokenizer)
         kind = np.dtype("<u2" if max(encoder.size, end_id) <= 1 << 16 else "<u4")
         end = np.array([end_id], kind)
-        file, so_far = TaskContext.get().partitionId(), 0
+        file, so_far, n = TaskContext.get().partitionId(), 0, np.zeros(max(encoder.size, end_id + 1), np.int64)
         for b in batches:
             ids, at = encoder.encode(*texts_of(b.column(text_col)))
+            n += np.bincount(ids, minlength=len(n))
+            n[end_id] += b.num_rows
             ids = ids.astype(kind)
             rows = [np.concatenate([ids[at[i] : at[i + 1]], end]) for i in range(b.num_rows)]
             before = so_far + np.cumsum([0, *map(len, rows)])
             so_far = int(before[-1])
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([file] * len(rows), pa.int32()), pa.array(before[:-1], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=schema.names)
+        seen = np.flatnonzero(n)
+        if len(seen):
+            counts = np.stack([seen, n[seen]], 1).astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, b.column(id_col).type), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([counts], pa.binary())], names=schema.names)
 
     ordered = df.select(id_col, text_col).repartitionByRange(F.col(id_col).asc()).sortWithinPartitions(F.col(id_col).asc())
     return map_arrow(ordered, run, schema)
 
 
-def _count_ids(kind: str):
-    def run(batches):
-        n = np.zeros(0, np.int64)
-        for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind))
-            if len(got) > len(n):
-                n = np.concatenate([n, np.zeros(len(got) - len(n), np.int64)])
-            n[: len(got)] += got
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["id", "n"])
-
-    return run
+def _pairs(batches):
+    """id and n of each pair of some counts."""
+    for b in batches:
+        pairs = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u8").reshape(-1, 2).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
 
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -179,7 +181,9 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col:
     encoder = unit_encoder(tokenizer)
     kind = "<u2" if max(encoder.size, end_id) <= 1 << 16 else "<u4"
     tokens = stored(_tokenised(df, tokenizer, end_id, id_col, text_col), "tokens")
-    counted = map_arrow(tokens.select("ids"), _count_ids(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    # These rows lie at the end of each file: by the statistics of pages, little else is read.
+    counted = map_arrow(tokens.where("file = -1").select("ids"), _pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    tokens = tokens.where("file >= 0")
     table = np.array(sorted((r.id, r.n) for r in counted), np.int64).reshape(-1, 2)
     book = Codebook.of_counts(table[:, 0], table[:, 1])
     spark.createDataFrame([(bytearray(table[:, 0].astype("<u4").tobytes()), bytearray(book.lengths.astype(np.uint8).tobytes()))], "ids binary, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")

@@ -13,22 +13,22 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 
 from brindle.llm.spans import span_hashes
 
-_WORD, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_SIGN[[b for b in range(33, 127) if not _WORD[b] and b != 39]] = True  # 39: "'s" is a pre-token
-#: First bytes of characters that may be white space beyond ASCII.
-_ODD = np.zeros(256, bool)
-_ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_SOLID = np.zeros(256, bool)
-_SOLID[33:127] = True
-_SOLID[128:] = True
+#: What a byte is, as bits: a letter or digit of ASCII; a sign of ASCII; no white space; perhaps the first byte of white space beyond ASCII.
+_WORD, _SIGN, _SOLID, _ODD = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] |= _SOLID | _SIGN
+_KIND[128:] |= _SOLID
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] ^= _SIGN | _WORD
+_KIND[39] ^= _SIGN  # "'s" is a pre-token
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] |= _ODD
 
 
 def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -37,26 +37,27 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     cut = np.zeros(n + 1, bool)
     cut[at] = True
     if n > 1:
+        kind = _KIND[data]
         # A byte beside which a border may lie: no white space, nor possibly part of any.
-        odd = _ODD[data]
-        ahead = _SOLID[data] & ~odd
-        behind = _SOLID[data].copy()
-        behind[1:] &= ~(odd[:-1] & (data[1:] > 127))
-        behind[2:] &= ~(odd[:-2] & (data[2:] > 127))
-        behind &= ~odd
-        lone = np.zeros(n, bool)
-        lone[1:-1] = behind[:-2] & ahead[2:]
-        blank, line = data == 32, data == 10
-        cut[:n] |= lone & (blank | line)
-        cut[1:] |= lone & line
-        word, sign = _WORD[data], _SIGN[data]
-        cut[1:n] |= word[:-1] & sign[1:] | sign[:-1] & word[1:]
+        ahead = kind & (_SOLID | _ODD) == _SOLID
+        behind = ahead.copy()
+        odd = np.flatnonzero(kind & _ODD)
+        for step in (1, 2):
+            after = odd[odd + step < n] + step
+            behind[after[data[after] > 127]] = False
+        space = np.flatnonzero((data == 32) | (data == 10))
+        inner = space[(space > 0) & (space < n - 1)]
+        lone = inner[behind[inner - 1] & ahead[inner + 1]]
+        cut[lone] = True
+        cut[lone[data[lone] == 10] + 1] = True
+        # Between a letter or digit and a sign, one way or the other.
+        cut[1:n] |= (kind[:-1] ^ kind[1:]) & (_WORD | _SIGN) == _WORD | _SIGN
         # White space at the end or start of a text joins nothing across it.
         edge = np.zeros(n + 1, bool)
         edge[at] = True
-        near = (blank | line) & (edge[:n] | edge[1:])
-        cut[:n] &= ~near | edge[:n]
-        cut[1:] &= ~(near & ~edge[1:])
+        near = space[edge[space] | edge[space + 1]]
+        cut[near[~edge[near]]] = False
+        cut[near[~edge[near + 1]] + 1] = False
     return np.flatnonzero(cut[:n])
 
 
@@ -90,7 +91,7 @@ class SpanMemory:
     Spans are found by their keys. Longer ones are then compared byte by byte: one that only has the
     hash of another is encoded anew. When the memory is full, spans that were met in one batch only are
     forgotten, and all of them if that doesn't help. A subclass has ``ids_of_all(bytes of spans end to
-    end, n + 1 offsets)``, which gives a list of lists of ids.
+    end, n + 1 offsets)``, which gives all ids end to end and how many each span has.
     """
 
     TEXT_MOST = 1 << 24
@@ -129,10 +130,7 @@ class SpanMemory:
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spans end to end and how many each has, from the library."""
-        over = np.cumsum(lengths)
-        new = self.ids_of_all(_joined(data, starts, lengths), np.concatenate([[0], over]))
-        counts = np.fromiter(map(len, new), np.int64, len(new))
-        return np.fromiter(chain.from_iterable(new), np.uint32, int(counts.sum())), counts
+        return self.ids_of_all(_joined(data, starts, lengths), np.concatenate([[0], np.cumsum(lengths)]))
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         ids, counts = self._encoded(data, starts, lengths)
@@ -189,6 +187,9 @@ class SpanMemory:
         return _joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
+_ID = attrgetter("id")
+
+
 class UnitEncoder(SpanMemory):
     """``encode(data, at)``: ids (unsigned 32 bits) of the texts laid end to end, and n + 1 offsets.
 
@@ -209,24 +210,36 @@ class UnitEncoder(SpanMemory):
         self.merge = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
 
-    def ids_of_all(self, data: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    def ids_of_all(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A blank and letters, or letters alone: the vocabulary's signs of their bytes can be merged as they are.
         body = at[:-1] + (data[at[:-1]] == 32)
         letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
         plain = (letters[at[1:]] - letters[body] == at[1:] - body) & (body < at[1:])
         raw, merge = data.tobytes(), self.merge
         signs = raw.decode("latin-1").translate(self.signs)
-        out = []
-        for s, e, easy in zip(at[:-1].tolist(), at[1:].tolist(), plain.tolist(), strict=True):
-            if easy:
-                out.append([x.id for x in merge(signs[s:e])])
-                continue
-            text = raw[s:e].decode()
+        encoded: dict[int, list[int]] = {}
+        for i in np.flatnonzero(~plain).tolist():
+            text = raw[at[i] : at[i + 1]].decode()
             if (text[1:] if text[0] == " " else text).isalpha():
-                out.append([x.id for x in merge(signs[s:e])])
+                plain[i] = True
             else:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return out
+                encoded[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
+        tokens, counts = [], np.zeros(len(plain), np.int64)
+        easy = np.flatnonzero(plain)
+        over = []
+        for s, e in zip(at[easy].tolist(), at[easy + 1].tolist(), strict=True):
+            tokens += merge(signs[s:e])
+            over.append(len(tokens))
+        ids = np.fromiter(map(_ID, tokens), np.uint32, len(tokens))
+        counts[easy] = np.diff(np.array(over, np.int64), prepend=0)
+        if not encoded:
+            return ids, counts
+        extra = np.fromiter(chain.from_iterable(encoded.values()), np.uint32)
+        counts[~plain] = [len(x) for x in encoded.values()]
+        begin = np.zeros(len(plain), np.int64)
+        begin[easy] = np.cumsum(counts[easy]) - counts[easy]
+        begin[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
+        return _joined(np.concatenate([ids, extra]), begin, counts), counts
 
     def _marked(self, data: np.ndarray, at: np.ndarray) -> list[int]:
         """Texts that hold the string of a special token."""
@@ -272,9 +285,11 @@ class PieceEncoder(SpanMemory):
         texts = [self.pieces.id_to_piece(i).replace("\u2581", "") for i in range(self.pieces.vocab_size())]
         self.is_sign = np.array([bool(x) and not any(c.isalnum() for c in x) for x in texts], bool) & ~self.is_byte
 
-    def ids_of_all(self, data: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    def ids_of_all(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        return self.pieces.encode([raw[s:e].decode() for s, e in pairwise(at.tolist())], num_threads=1)
+        new = self.pieces.encode([raw[s:e].decode() for s, e in pairwise(at.tolist())], num_threads=1)
+        counts = np.fromiter(map(len, new), np.int64, len(new))
+        return np.fromiter(chain.from_iterable(new), np.uint32, int(counts.sum())), counts
 
 
 @lru_cache(maxsize=1)
