@@ -40,7 +40,7 @@ from brindle.llm.bloom import digest_of, rows_that_may_match
 from brindle.llm.common import forget, fresh_prefix, join_hot, map_arrow, stored
 from brindle.llm.components import components
 from brindle.llm.signature_tree import Groups, bitmap, similar_groups, width_of
-from brindle.llm.spans import FOLDED, span_hashes, texts_of, window_hashes, word_spans
+from brindle.llm.spans import texts_of, window_hashes, word_hashes, word_spans
 
 SHINGLE, KEYS, BLOCK_BYTES, CHUNK_TOKENS = 5, 24, 1 << 22, 1 << 20
 NUM, DEN = 3, 4  # a similarity of 0.75
@@ -56,7 +56,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> list[np.
     A text of fewer than k words has one shingle, its whole sequence; one without words has none.
     """
     starts, ends, owner = word_spans(data, at)
-    words = span_hashes(data, starts, ends, FOLDED)
+    words = word_hashes(data, starts, ends, fold=True)
     first = np.searchsorted(owner, np.arange(len(at)))
     windows = window_hashes(words, k)
     out = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from brindle.llm.common import field, map_arrow
-from brindle.llm.spans import SPACE, mix, span_hashes, texts_of, window_hashes, word_spans
+from brindle.llm.spans import SPACE, mix, texts_of, window_hashes, word_hashes, word_spans
 from brindle.llm.tokens import piece_encoder
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -86,8 +86,7 @@ def script_of(data: np.ndarray, at: np.ndarray) -> list[str]:
 
 def _per_text(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many of each text's bytes have the mark."""
-    sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return sums[at[1:]] - sums[at[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(mask), at))
 
 
 def _distinct(keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -123,10 +122,10 @@ def base_counts(data: np.ndarray, at: np.ndarray, spans=None) -> dict[str, np.nd
     stop.sort()
     end = stop[np.searchsorted(stop, begin, "right")] if len(begin) else begin
     line_owner = np.searchsorted(at, begin, "right") - 1
-    hashes = span_hashes(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, begin, end)
     out["n_dup_lines"] = np.bincount(line_owner, minlength=n) - _distinct(hashes, line_owner, n)
     # Windows of words within one text; a word counts if any window over it is found twice or more.
-    words = span_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends)
     covered = np.zeros(len(words), bool)
     windows = window_hashes(words, WINDOW)
     if len(windows):

@@ -24,10 +24,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _CHUNK = 1 << 20
-#: A 64-bit value for each byte; in FOLDED, A-Z have those of a-z.
-VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _M)
-FOLDED = VALUES.copy()
-FOLDED[65:91] = VALUES[97:123]
+#: A 64-bit value for each byte.
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _M)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -66,7 +66,7 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span (ascending, disjoint), worked off in chunks of about 1 MB.
 
     The sum of a scrambled value for each pair of byte and place in the span. A polynomial modulo
@@ -82,7 +82,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
         begin = np.zeros(high - low, np.int64)
         begin[s] = np.diff(s, prepend=0)
         place = np.arange(high - low) - np.cumsum(begin)
-        h = values[data[low:high]] + place.view(np.uint64) * _STEP
+        h = _VALUES[data[low:high]] + place.view(np.uint64) * _STEP
         h ^= h >> np.uint64(32)
         h *= _M
         h ^= h >> np.uint64(29)
@@ -95,6 +95,35 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return mix(out)
 
 
+def joined(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of data that begin at these places, end to end."""
+    over = np.cumsum(lengths, dtype=np.int64)
+    return data[np.repeat(begin - over + lengths, lengths) + np.arange(over[-1] if len(over) else 0)]
+
+
+#: What is left of the first eight bytes (little-endian) of a span of so many bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span: up to seven bytes are the key, with their number; longer spans have a hash."""
+    short = lengths <= 7
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n = np.minimum(lengths, 7)
+    out = eight[starts] & _MASKS[n] | n.astype(np.uint64) << np.uint64(56)
+    if not short.all():
+        sizes = lengths[~short]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out[~short] = span_hashes(joined(data, starts[~short], sizes), ends - sizes, ends)
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span, different for all different spans of up to seven bytes; with fold, A-Z count as a-z."""
+    return mix(span_keys(_FOLD[data] if fold else data, starts, ends - starts))
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive words, in order."""
     n = len(words) - k + 1

@@ -17,7 +17,7 @@ from operator import attrgetter
 
 import numpy as np
 
-from brindle.llm.spans import span_hashes
+from brindle.llm.spans import joined, span_keys
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -61,30 +61,6 @@ def unit_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
-def _joined(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The stretches of data that begin at these places, end to end."""
-    over = np.cumsum(lengths, dtype=np.int64)
-    return data[np.repeat(begin - over + lengths, lengths) + np.arange(over[-1] if len(over) else 0)]
-
-
-#: What is left of the first eight bytes (little-endian) of a span of so many bytes.
-_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
-
-
-def span_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each span: up to seven bytes are the key, with their number; longer spans have a hash."""
-    short = lengths <= 7
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    n = np.minimum(lengths, 7)
-    out = eight[starts] & _MASKS[n] | n.astype(np.uint64) << np.uint64(56)
-    if not short.all():
-        sizes = lengths[~short]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        out[~short] = span_hashes(_joined(data, starts[~short], sizes), ends - sizes, ends)
-    return out
-
-
 class SpanMemory:
     """Remembers the ids of byte spans met before; ``limit`` bounds how many, TEXT_MOST the bytes of the longer ones.
 
@@ -117,7 +93,7 @@ class SpanMemory:
         if 2 * len(slots) > self.limit or 2 * long.sum() > self.TEXT_MOST:
             self._clear()
             return
-        known, flat, text = self.known[keep], _joined(self.flat, self.begin[slots], counts), _joined(self.text, self.place[slots], long)
+        known, flat, text = self.known[keep], joined(self.flat, self.begin[slots], counts), joined(self.text, self.place[slots], long)
         self._clear()
         self.known, self.slot = known, np.arange(len(slots), dtype=np.int32)
         self.flat, self.used, self.text, self.text_used = flat, len(flat), text, len(text)
@@ -130,7 +106,7 @@ class SpanMemory:
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spans end to end and how many each has, from the library."""
-        return self.ids_of_all(_joined(data, starts, lengths), np.concatenate([[0], np.cumsum(lengths)]))
+        return self.ids_of_all(joined(data, starts, lengths), np.concatenate([[0], np.cumsum(lengths)]))
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         ids, counts = self._encoded(data, starts, lengths)
@@ -140,7 +116,7 @@ class SpanMemory:
         long = np.where(lengths > 7, lengths, 0)
         size = int(long.sum())
         self.text = self._room(self.text, self.text_used + size)
-        self.text[self.text_used : self.text_used + size] = _joined(data, starts, long)
+        self.text[self.text_used : self.text_used + size] = joined(data, starts, long)
         for name, values in (("begin", self.used + np.cumsum(counts) - counts), ("count", counts), ("place", self.text_used + np.cumsum(long) - long), ("length", lengths), ("met", 0)):
             array = self._room(getattr(self, name), k + n)
             array[k : k + n] = values
@@ -155,7 +131,7 @@ class SpanMemory:
         """Which spans are not the ones remembered under their key."""
         same = self.length[slots] == lengths
         at = np.flatnonzero(same & (lengths > 7))
-        differs = _joined(data, starts[at], lengths[at]) != _joined(self.text, self.place[slots[at]], lengths[at])
+        differs = joined(data, starts[at], lengths[at]) != joined(self.text, self.place[slots[at]], lengths[at])
         if differs.any():
             same[np.repeat(at, lengths[at])[differs]] = False
         return np.flatnonzero(~same)
@@ -184,7 +160,7 @@ class SpanMemory:
             extra, own = self._encoded(data, starts[odd], lengths[odd])
             begin[odd], counts[odd] = self.used + np.cumsum(own) - own, own
             flat = np.concatenate([flat[: self.used], extra])
-        return _joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return joined(flat, begin, counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
 
 _ID = attrgetter("id")
@@ -239,7 +215,7 @@ class UnitEncoder(SpanMemory):
         begin = np.zeros(len(plain), np.int64)
         begin[easy] = np.cumsum(counts[easy]) - counts[easy]
         begin[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
-        return _joined(np.concatenate([ids, extra]), begin, counts), counts
+        return joined(np.concatenate([ids, extra]), begin, counts), counts
 
     def _marked(self, data: np.ndarray, at: np.ndarray) -> list[int]:
         """Texts that hold the string of a special token."""

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from brindle.llm.common import field, forget, map_arrow, session_of, stored
 from brindle.llm.quality_rules import _distinct, _per_text, base_counts
-from brindle.llm.spans import FOLDED, span_hashes, texts_of, word_spans
+from brindle.llm.spans import texts_of, word_hashes, word_spans
 
 #: Different texts the scorer is trained on at most, and bytes of these; buckets of trigrams; score from which a document is kept.
 TRAIN_ROWS, TRAIN_BYTES, BUCKETS, KEEP = 8000, 1 << 24, 1 << 16, 0.5
@@ -43,7 +43,7 @@ _STOPS[[ord(c) for c in ".!?:;\"'"]] = True
 def _stop_hashes() -> np.ndarray:
     raw = np.frombuffer("".join(sorted(set(STOP_WORDS))).encode(), np.uint8)
     ends = np.cumsum([len(x) for x in sorted(set(STOP_WORDS))])
-    return np.sort(span_hashes(raw, np.concatenate([[0], ends[:-1]]), ends, FOLDED))
+    return np.sort(word_hashes(raw, np.concatenate([[0], ends[:-1]]), ends, fold=True))
 
 
 def _vote(value: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def votes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     capitals = _per_text(_UPPER[data], at) / letters
     lines = _per_text(data == 10, at) + 1
     known = _stop_hashes()
-    hashes = span_hashes(data, starts, ends, FOLDED)
+    hashes = word_hashes(data, starts, ends, fold=True)
     place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
     stops = np.bincount(owner[known[place] == hashes], minlength=n) / words
     again = np.bincount(owner[1:][(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])], minlength=n) / words

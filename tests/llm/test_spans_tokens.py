@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from brindle.llm import spans, tokens
+from brindle.llm import spans
 from brindle.llm.common import vocabulary
-from brindle.llm.spans import FOLDED, VALUES, span_hashes, texts_of, window_hashes, word_spans
+from brindle.llm.spans import span_hashes, span_keys, texts_of, window_hashes, word_hashes, word_spans
 from brindle.llm.tokens import UnitEncoder, piece_encoder, unit_encoder
 from tests.llm.cases import awkward, words
 
@@ -28,7 +28,7 @@ def test_words(texts):
         got[o].append(data[s:e].tobytes().decode())
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", x) for x in texts]
     flat = [w for ws in got for w in ws]
-    hashes = span_hashes(data, starts, ends, FOLDED)
+    hashes = word_hashes(data, starts, ends, fold=True)
     fold = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
     assert len(set(hashes.tolist())) == len(set(map(fold, flat)))
 
@@ -61,8 +61,8 @@ def test_regular_words_do_not_collide():
     words = [*thue_morse(10), *thue_morse(12), "a" * 1024, "ab" * 512, "ba" * 512]
     data, at = texts_of(pa.array([" ".join(words)]))
     starts, ends, _ = word_spans(data, at)
-    for values in (VALUES, FOLDED):
-        assert len(set(span_hashes(data, starts, ends, values).tolist())) == len(words)
+    for hashes in (span_hashes(data, starts, ends), word_hashes(data, starts, ends), word_hashes(data, starts, ends, fold=True)):
+        assert len(set(hashes.tolist())) == len(words)
 
 
 def test_hashes_do_not_depend_on_chunks(monkeypatch):
@@ -113,10 +113,10 @@ def test_texts_of_many_words(encoder, library):
 def test_keys_of_short_spans_are_the_spans():
     texts = ["a", "a\0", "\0", "\0\0", "abcdefg", "abcdef", "abcdef\0", "abcdefgh", "é", "b", "c" * 300, "c" * 301]
     data, at = texts_of(pa.array(texts))
-    keys = tokens.span_keys(data, at[:-1], np.diff(at))
+    keys = span_keys(data, at[:-1], np.diff(at))
     assert len(set(keys.tolist())) == len(texts)
     again, at = texts_of(pa.array(texts[::-1]))
-    assert tokens.span_keys(again, at[:-1], np.diff(at)).tolist() == keys.tolist()[::-1]
+    assert span_keys(again, at[:-1], np.diff(at)).tolist() == keys.tolist()[::-1]
 
 
 @pytest.mark.parametrize("limit, text", [(20, 1 << 24), (60, 1 << 24), (10**6, 30), (10**6, 200)])
@@ -137,7 +137,7 @@ def test_forgetting_changes_nothing(library, monkeypatch):
 
 
 def test_equal_hashes_are_told_apart(library, monkeypatch):
-    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(spans, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
     small = UnitEncoder(vocabulary())
     texts = ["one two three four", "five six, seven", "", "one two two three.", "ninety-nine", "extraordinary international", "an internationally extraordinarily", "\0\0a a\0 a", "é" * 9]
     same_as(library, small, texts)
