@@ -23,7 +23,7 @@ BLOCK_WORDS, SHARD_SLOTS, MOST, WEIGHTS = 128, 1 << 13, 3, (1, 2, 3)
 #: Documents in a chunk of a source's stream, about; copies of a row that one row is spread to; slots that a task makes.
 _CHUNK_ROWS, _COPIES, _TASK_SLOTS = 1000, 4096, 1 << 17
 #: Rounds of the shuffle of block indices; cells that a line of intervals is cut into.
-_ROUNDS, _CELLS = 32, 1024
+_ROUNDS, _CELLS = 20, 1024
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
