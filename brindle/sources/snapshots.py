@@ -34,7 +34,7 @@ class Files:
     """The file system operations the log needs, through Hadoop's interface."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.gateway, self.conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
         self.fs = self._path(root).getFileSystem(self.conf)
 
     def _path(self, path: str):
@@ -46,7 +46,7 @@ class Files:
 
     def create(self, path: str, text: str) -> bool:
         """Writes a new file, whole or not at all; False if there is one already, however many try at once."""
-        raw, scheme = bytearray(text.encode()), self.fs.getScheme()
+        raw, scheme = bytearray(text.encode()), self.fs.getUri().getScheme()
         if scheme not in ("file", "hdfs", "webhdfs", "viewfs"):
             # Object stores show a file when it is closed, and refuse then if there is one.
             return self._write(path, raw, False)
@@ -54,9 +54,7 @@ class Files:
         self._write(temp, raw, True)
         try:
             if scheme == "file":  # a rename would replace; a link doesn't
-                nio, uri = self.jvm.java.nio.file, lambda p: self.fs.makeQualified(self._path(p)).toUri()
-                nio.Files.createLink(nio.Paths.get(uri(path)), nio.Paths.get(uri(temp)))
-                return True
+                return self._link(temp, path, raw)
             return bool(self.fs.rename(self._path(temp), self._path(path)))
         except Py4JJavaError as e:
             if "FileAlreadyExists" in str(e.java_exception):
@@ -65,6 +63,25 @@ class Files:
         finally:
             self.fs.delete(self._path(temp), False)
 
+    def _link(self, temp: str, path: str, raw: bytearray) -> bool:
+        nio = self.jvm.java.nio.file
+        place = lambda p: nio.Paths.get(self.fs.makeQualified(self._path(p)).toUri())
+        try:
+            nio.Files.createLink(place(path), place(temp))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            # A file system without links: created exclusively, though for a moment it is there and not yet whole.
+            nio.Files.write(place(path), raw, self._options("CREATE_NEW", "WRITE"))
+        return True
+
+    def _options(self, *names: str):
+        kind = self.jvm.java.nio.file.StandardOpenOption
+        out = self.gateway.new_array(self.jvm.java.nio.file.OpenOption, len(names))
+        for i, name in enumerate(names):
+            out[i] = getattr(kind, name)
+        return out
+
     def _write(self, path: str, raw: bytearray, overwrite: bool) -> bool:
         try:
             out = self.fs.create(self._path(path), overwrite)
@@ -122,6 +139,8 @@ class Store:
             except Py4JJavaError:  # deleted meanwhile by another process: there is a later one then
                 if max(self._versions()) == last:
                     raise
+            except json.JSONDecodeError:  # not yet whole
+                time.sleep(0.2)
         raise EngineError("too many writers at once")
 
     def history(self) -> list[tuple[int, dict]]:

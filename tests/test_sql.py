@@ -311,6 +311,14 @@ def test_of_many_writers_of_one_version_one_succeeds(engine):
     assert [n for n in files.names(f"{engine.store.root}/_log") if n.endswith(".tmp")] == []
 
 
+def test_exclusive_files_without_links(engine):
+    files, path = engine.store.files, f"{engine.store.root}/_log/{78:012d}.json"
+    assert files._link(path + ".missing", path, bytearray(b"{}")) and files.read(path) == "{}"  # a link that can't be made
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        files._link(path + ".missing", path, bytearray(b"[]"))
+    assert files.read(path) == "{}"
+
+
 def test_writers_at_once_lose_nothing(engine):
     from concurrent.futures import ThreadPoolExecutor
 
