@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +41,26 @@ def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part
 
 
+def give_back() -> None:
+    """Returns memory that this worker process has freed to the system: idle workers are kept for a while."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where the C library is another
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _ran(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from fn(in_pieces(batches))
+    give_back()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over pieces of bounded size: memory follows the longest texts, not the partition. No piece is empty."""
     names = df.columns
     if not any(set(".`") & set(c) for c in names):
-        return df.mapInArrow(lambda batches: fn(in_pieces(batches)), schema)
+        return df.mapInArrow(lambda batches: _ran(fn, batches), schema)
     # mapInArrow takes a dot in a column's name for one in a path.
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.mapInArrow(lambda batches: fn(in_pieces(b.rename_columns(names) for b in batches)), schema)
+    return plain.mapInArrow(lambda batches: _ran(fn, (b.rename_columns(names) for b in batches)), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

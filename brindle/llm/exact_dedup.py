@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from brindle.llm.bloom import CELLS, MAX_CELLS, bloom_filter, flat, may_hold
 from brindle.llm.common import field, forget, fresh_prefix, join_hot, map_arrow, own_dir, session_of, stored
+from brindle.llm.tokens import release_encoders
 
 ROUND_ROWS = MAX_CELLS // CELLS
 #: Partitions that a round's hashes are written in.
@@ -40,6 +41,7 @@ def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and sha of each row."""
 
     def run(batches):
+        release_encoders()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(id_col), _digests(b.column(text_col))], names=[id_col, "sha"])
 

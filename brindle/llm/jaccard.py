@@ -41,6 +41,7 @@ from brindle.llm.common import forget, fresh_prefix, join_hot, map_arrow, stored
 from brindle.llm.components import components
 from brindle.llm.signature_tree import Groups, bitmap, similar_groups, width_of
 from brindle.llm.spans import texts_of, window_hashes, word_hashes, word_spans
+from brindle.llm.tokens import release_encoders
 
 SHINGLE, KEYS, BLOCK_BYTES, CHUNK_TOKENS = 5, 24, 1 << 22, 1 << 20
 NUM, DEN = 3, 4  # a similarity of 0.75
@@ -74,6 +75,7 @@ def _class_of(tokens: np.ndarray) -> bytes:
 
 def _count_shingles(batches):
     """Shingles and in how many texts each is, summed over about a million shingles at a time."""
+    release_encoders()
     held, size = [], 0
 
     def summed():
@@ -137,6 +139,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("salt", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("low", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
     def run(batches):
+        release_encoders()
         for b in batches:
             sets = shingle_sets(*texts_of(b.column("text")))
             rows = [(len(s), _class_of(s), keys_of(s, spread.value).view(np.int64), bitmap(s, width_of(len(s))).tobytes()) if len(s) else (0, None, None, None) for s in sets]

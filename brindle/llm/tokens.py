@@ -274,6 +274,11 @@ def _encoder(kind: type[SpanMemory], path: str) -> SpanMemory:
     return kind(path)
 
 
+def release_encoders() -> None:
+    """Lets go of what another stage has left in this worker process."""
+    _encoder.cache_clear()
+
+
 def unit_encoder(path: str) -> UnitEncoder:
     return _encoder(UnitEncoder, path)
 
