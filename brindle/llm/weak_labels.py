@@ -145,12 +145,18 @@ def train_scorer(whose: np.ndarray, which: np.ndarray, times: np.ndarray, soft:
     w = np.zeros(BUCKETS + 1)
     if not n:
         return w
-    value = times / (CALM + np.bincount(whose, times, n))[whose]
+    # In the order of the texts, so that sums over a text are sums over a stretch.
+    order = np.argsort(whose, kind="stable") if (np.diff(whose) < 0).any() else slice(None)
+    whose, which = whose[order].astype(np.intp), which[order].astype(np.intp)
+    value = times[order] / (CALM + np.bincount(whose, times[order], n))[whose]
+    texts, starts = np.unique(whose, return_index=True)
+    z = np.zeros(n)
     balance = soft / max(soft.sum(), 1e-9) + (1 - soft) / max((1 - soft).sum(), 1e-9)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = np.bincount(whose, value * w[which], n) + w[-1]
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - soft)
+        if len(starts):
+            z[texts] = np.add.reduceat(value * w[which], starts)
+        error = balance * (1 / (1 + np.exp(-np.clip(z + w[-1], -60, 60))) - soft)
         g = np.append(np.bincount(which, value * error[whose], BUCKETS), error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
