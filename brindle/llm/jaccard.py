@@ -1,7 +1,7 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles, with signature trees.
 
-1. Each text becomes a set of 64-bit shingle hashes. Shingles that many texts share (HOT_LEAST texts
-   or more of a sample of one in SAMPLE, at most HOT_MOST of them) are put last, all others in order of their hash.
+1. Each text becomes a set of 64-bit shingle hashes. Shingles that many texts share (HOT_LEAST * SAMPLE
+   different texts or more, counted over all; at most HOT_MOST of them) are put last, all others in order of their hash.
 2. A set's keys are its first shingles in that order: enough that two sets with a similarity of 3/4
    have none in common with a probability below 4e-15 (KEYS for a set without common shingles), or so
    many that they never have none. Texts that share no more than a common passage thus meet nowhere.
@@ -17,7 +17,8 @@
    cluster's largest group is compared with all classes of other groups, chunk by chunk. What is
    left out by this are pairs inside one group, which change nothing.
 
-No task sees more than a block of BLOCK_BYTES or some chunks of CHUNK_TOKENS shingles, and no pair is
+No task sees more than a block of BLOCK_BYTES, some chunks of CHUNK_TOKENS shingles or those of
+COUNT_BYTES of text when they are counted, and no pair is
 left unseen unless its two classes are already known to belong together. What the driver and the
 broadcasts hold are the HOT_MOST common shingles (8 bytes each), whatever the input; with none of them the
 result is the same, at more cost. The last step's cost grows with the classes outside a cluster's
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.bloom import digest_of, rows_that_may_match
+from brindle.llm.bloom import bloom_filter, digest_of, flat, may_hold, rows_that_may_match
 from brindle.llm.common import forget, fresh_prefix, join_hot, map_arrow, stored
 from brindle.llm.components import components
 from brindle.llm.signature_tree import Groups, bitmap, similar_groups, width_of
@@ -45,8 +46,10 @@ from brindle.llm.tokens import release_encoders
 
 SHINGLE, KEYS, BLOCK_BYTES, CHUNK_TOKENS = 5, 24, 1 << 22, 1 << 20
 NUM, DEN = 3, 4  # a similarity of 0.75
-#: One text in SAMPLE is counted to find common shingles; how many of these must have one; how many shingles are put last at most.
-SAMPLE, HOT_LEAST, HOT_MOST = 16, 5, 1 << 20
+#: A common shingle is in HOT_LEAST * SAMPLE texts or more. All texts are counted; SAMPLE is only a factor, which keeps the name it had when one text in so many was.
+SAMPLE, HOT_LEAST = 16, 5
+#: How many shingles are put last at most; bytes of text whose shingles are counted together, about; shingles that are summed before they are dealt out.
+HOT_MOST, COUNT_BYTES, COUNT_TOKENS = 1 << 20, 1 << 22, 1 << 20
 #: Bytes of a class in a block besides its bitmap, about; ratio of sizes that share a band (a little over 4/3).
 _ROW_BYTES, _BAND = 200, 1.34
 
@@ -73,33 +76,103 @@ def _class_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _count_shingles(batches):
-    """Shingles and in how many texts each is, summed over about a million shingles at a time."""
-    release_encoders()
-    held, size = [], 0
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values by the byte, the first bytes of all first: those of ascending values are much alike, and compress."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() if len(values) else b""
 
-    def summed():
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(token), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(token[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["token", "n"])
 
-    for b in batches:
-        for s in shingle_sets(*texts_of(b.column("text"))):
-            held.append(s)
-            size += len(s)
-            if size > 1 << 20:
-                yield from summed()
-                held, size = [], 0
-    if held:
-        yield from summed()
+def _values(planes: list[bytes]) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel() for x in planes]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.uint64)
+
+
+def _dealt_shingles(spread, parts: int):
+    """Shingles by ranges of their hash: those met once, those met more often with how often, and those of texts that may be repeated, each with its text's salt.
+
+    About COUNT_TOKENS shingles are summed at a time. spread: a filter of the repeated salts, or None.
+    """
+    low = np.array([-(-(i << 64) // parts) for i in range(parts)], np.uint64)  # where each range begins
+
+    def run(batches):
+        release_encoders()
+        held, doubtful, size = [], {}, 0
+
+        def summed():
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            theirs = np.concatenate([np.zeros(0, np.uint64), *doubtful.values()])
+            salts = np.repeat(np.fromiter(doubtful, np.int64, len(doubtful)), [len(x) for x in doubtful.values()]).view(np.uint64)
+            by = np.argsort(theirs, kind="stable")
+            theirs, salts = theirs[by], salts[by]
+            ones, many, times = token[n == 1], token[n > 1], n[n > 1].astype(np.uint64)
+            cuts = [[*np.searchsorted(x, low).tolist(), len(x)] for x in (ones, many, theirs)]
+            rows = []
+            for i in range(parts):
+                (a, b), (c, d), (e, f) = ((x[i], x[i + 1]) for x in cuts)
+                if a < b or c < d or e < f:
+                    rows.append((i, _planes(ones[a:b]), _planes(many[c:d]), _planes(times[c:d]), _planes(theirs[e:f]), _planes(salts[e:f])))
+            step = -(-len(rows) // 8)  # about 1 MB
+            for i in range(0, len(rows), step) if rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + step], strict=True), (pa.int64(), *[pa.binary()] * 5), strict=True)], names=_DEALT_NAMES)
+
+        for b in batches:
+            owners = b.column("salt").to_pylist()
+            again = np.zeros(len(owners), bool) if spread is None else may_hold(flat(b.column("sha")), *spread.value)
+            for s, salt, twice in zip(shingle_sets(*texts_of(b.column("text"))), owners, again.tolist(), strict=True):
+                if not twice:
+                    held.append(s)
+                elif salt not in doubtful:
+                    doubtful[salt] = s
+                else:
+                    continue
+                size += len(s)
+                if size > COUNT_TOKENS:
+                    yield from summed()
+                    held, doubtful, size = [], {}, 0
+        if size:
+            yield from summed()
+
+    return run
+
+
+_DEALT_NAMES = ["part", "ones", "many", "times", "theirs", "salts"]
+_DEALT = "part long, ones binary, many binary, times binary, theirs binary, salts binary"
+
+
+def _counted_shingles(least: int):
+    """Shingles of ``least`` texts or more, from the dealt ones sorted by part; a text counts once, however often it is repeated."""
+
+    def run(batches):
+        for rows in _rows_by(batches, "part"):
+            ones, many, times, theirs, salts = (_values([r[k] for r in rows]) for k in _DEALT_NAMES[1:])
+            by = np.lexsort((salts, theirs))
+            theirs, salts = theirs[by], salts[by]
+            theirs = theirs[np.concatenate([[True], (theirs[1:] != theirs[:-1]) | (salts[1:] != salts[:-1])])[: len(theirs)]]
+            token = np.concatenate([ones, theirs, many])
+            n = np.concatenate([np.ones(len(ones) + len(theirs), np.int64), times.astype(np.int64)])
+            by = np.argsort(token, kind="stable")
+            token, n = token[by], n[by]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            n = np.add.reduceat(n, first)
+            own = n >= least
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[first][own].view(np.int64)), pa.array(n[own])], names=["token", "n"])
+
+    return run
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Ascending hashes of the HOT_MOST shingles at most that the most texts of a sample have, from HOT_LEAST texts on."""
-    drawn = docs.where((F.pmod("salt", F.lit(SAMPLE)) == 0) & F.col("text").isNotNull()).groupBy("salt").agg(F.first("text").alias("text"))
-    counted = map_arrow(drawn.select("text"), _count_shingles, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = stored(counted.where(F.col("n") >= HOT_LEAST), "common")
-    least, total = HOT_LEAST, 0
+    """Ascending hashes of the HOT_MOST shingles at most that the most different texts have, from HOT_LEAST * SAMPLE texts on; all texts are counted."""
+    texts = docs.where(F.col("text").isNotNull()).select("text", "salt")
+    repeated = stored(texts.groupBy("salt").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(digest_of(F.col("salt")).alias("sha")), "repeated")
+    rows, spread = repeated.count(), None
+    if rows:
+        spread = docs.sparkSession.sparkContext.broadcast(bloom_filter(repeated, rows))
+        texts = texts.withColumn("sha", digest_of(F.col("salt")))
+    forget(repeated)
+    parts = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // COUNT_BYTES)
+    dealt = map_arrow(texts, _dealt_shingles(spread, parts), _DEALT)
+    counted = stored(map_arrow(dealt.repartition("part").sortWithinPartitions("part"), _counted_shingles(HOT_LEAST * SAMPLE), "token long, n long"), "common")
+    least, total = 0, 0
     # Different counts are few: their histogram grows with the root of the shingles at most.
     for r in counted.groupBy("n").count().orderBy(F.desc("n")).collect():
         total += r["count"]

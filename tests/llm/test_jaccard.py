@@ -170,3 +170,16 @@ def test_long_texts(spark):
     long = words(3, 60_000, 10**6)
     rows = [(1, long, "en", "a", 1), (2, long[: len(long) * 4 // 5], "en", "a", 1), (3, long[: len(long) // 2], "en", "a", 1), (4, "x " * 50_000, "en", "a", 1)]
     assert collected(near_duplicates(frame(spark, rows))) == brute(rows)
+
+
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNT_TOKENS", 500, raising=False)
+    monkeypatch.setattr(jaccard, "COUNT_BYTES", 4000, raising=False)
+    rows = [(words(7, 30) if i < 80 else words(8, 30) if i < 159 else words(9, 30)) + f" x{i}" for i in range(170)]
+    rows += [rows[80]] * 50 + [rows[165]] * 200 + [None, "", " "] * 100  # repeated texts count once
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string").selectExpr("*", "xxhash64(text) salt").repartition(5)
+    data = np.frombuffer(words(7, 30).encode(), np.uint8)
+    want = jaccard.shingle_sets(data, np.array([0, len(data)]))[0]
+    assert jaccard.common_shingles(docs).tolist() == want.tolist()
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 79 / 16)
+    assert len(jaccard.common_shingles(docs)) == 2 * len(want)
