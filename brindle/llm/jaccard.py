@@ -171,7 +171,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     forget(repeated)
     parts = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // COUNT_BYTES)
     dealt = map_arrow(texts, _dealt_shingles(spread, parts), _DEALT)
-    counted = stored(map_arrow(dealt.repartition("part").sortWithinPartitions("part"), _counted_shingles(HOT_LEAST * SAMPLE), "token long, n long"), "common")
+    counted = map_arrow(dealt.repartition("part").sortWithinPartitions("part"), _counted_shingles(HOT_LEAST * SAMPLE), "token long, n long")
+    counted = stored(counted.hint("rebalance"), "common")  # few rows from many tasks: few files
     least, total = 0, 0
     # Different counts are few: their histogram grows with the root of the shingles at most.
     for r in counted.groupBy("n").count().orderBy(F.desc("n")).collect():
@@ -277,7 +278,7 @@ def _chains(classes: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     keys = classes.select("cls", "n", F.explode("low").alias("token"))
     sums = keys.groupBy("token").agg(*_totals(), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     blocks = sums.where("members > 1").groupBy("members", "bytes", "x", "y").agg(F.min("token").alias("token")).select("token", "bytes")
-    members = stored(keys.join(blocks, "token").select(F.xxhash64("token").alias("part"), "cls", "n", "bytes"), "members")
+    members = stored(keys.join(blocks, "token").select(F.xxhash64("token").alias("part"), "cls", "n", "bytes").hint("rebalance"), "members")
     scratch.append(members)
     large = members.where(F.col("bytes") > BLOCK_BYTES)
     whole = None

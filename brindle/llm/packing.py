@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from brindle.llm.common import field, map_arrow
+from brindle.llm.common import BATCH_BYTES, field, map_arrow
 from brindle.llm.spans import texts_of
 from brindle.llm.tokens import unit_encoder
 
@@ -201,11 +201,15 @@ def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_
         def packed():
             nonlocal sequence, held, tokens
             rows, sequence = _pack_group(held, window, sequence)
-            columns = [pa.array(rows["doc"], kind), *(pa.array(rows[f.name], pa.int64()) for f in fields[1:7])]
-            if with_ids:
-                columns.append(pa.array([x.astype(np.int32) for x in rows["ids"]], pa.list_(pa.int32())))
             held, tokens = [], 0
-            return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            step = max(1, BATCH_BYTES // (4 * window if with_ids else 64))
+            for i in range(0, len(rows["doc"]), step):
+                own = {k: v[i : i + step] for k, v in rows.items()}
+                columns = [pa.array(own["doc"], kind), *(pa.array(own[f.name], pa.int64()) for f in fields[1:7])]
+                if with_ids:
+                    over = np.concatenate([[0], np.cumsum(own["length"])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(over, np.concatenate(own["ids"]).view(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
         end = np.array([end_id], np.uint32)
         for b in batches:
@@ -215,8 +219,8 @@ def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_
                 held.append((doc, np.concatenate([ids[at[i] : at[i + 1]], end])))
                 tokens += len(held[-1][1])
                 if len(held) >= GROUP_ROWS or tokens >= GROUP_TOKENS:
-                    yield packed()
+                    yield from packed()
         if held:
-            yield packed()
+            yield from packed()
 
     return map_arrow(df.select(id_col, text_col), run, T.StructType(fields))

@@ -3,14 +3,17 @@
 import itertools
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from brindle.llm.common import vocabulary
+from brindle.llm import packing
+from brindle.llm.common import BATCH_BYTES, vocabulary
 from brindle.llm.packing import TOLERANCE, chosen, combinations, pack, pack_rests, rounded, solve_counts
 from tests.llm.cases import frame, tables, words
 from tests.llm.test_spans_tokens import thue_morse
@@ -137,3 +140,20 @@ def test_pieces(spark, window):
                 continue
             assert [x for _, part, _ in sorted(docs[i]) for x in part] == ids
             assert {n for _, _, n in docs[i]} == {len(ids)}
+
+
+def test_batches_are_bounded(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(packing, "map_arrow", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr("pyspark.TaskContext.get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [words(i, 4000) for i in range(120)] + [None, ""]
+    pack(frame(spark), vocabulary(), with_ids=True)
+    out = list(runs[0](iter([pa.RecordBatch.from_pydict({"doc_id": list(range(122)), "text": texts})])))
+    assert sum(b.nbytes for b in out) > 4 * BATCH_BYTES and max(b.nbytes for b in out) < 1.1 * BATCH_BYTES
+    ids = defaultdict(dict)
+    for b in out:
+        for r in b.to_pylist():
+            ids[r["doc_id"]][r["start"]] = r["ids"]
+    library = Tokenizer.from_file(vocabulary())
+    for i, text in enumerate(texts):
+        assert list(itertools.chain.from_iterable(x for _, x in sorted(ids[i].items()))) == [*library.encode(text or "", add_special_tokens=False).ids, 0]
